@@ -15,7 +15,8 @@ from collections.abc import Sequence
 import numpy as np
 
 _SPLIT = re.compile(r"(?= \S)")
-_ODD = re.compile(r" (?!\S)")
+#: White space other than the space, tab and line ends.
+_OTHER = "\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Python takes these for white space, the tokenizers library doesn't.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -31,28 +32,36 @@ class _Memo(dict):
     def __init__(self, tokenizer, folds: bool, capacity: int):
         super().__init__()
         self.tokenizer, self.model, self.folds, self.capacity = tokenizer, tokenizer.model, folds, capacity
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def bpe(self, word: str) -> list[int]:
+        """Ids of a word of Latin letters."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        return [t.id for t in self.model.tokenize(shown.lower() if self.folds and word.isascii() else shown if self.folds else "Ġ" + shown)]
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.capacity:
             self.clear()
-        if piece[-1:] in _MARKS and _LATIN.fullmatch(piece, 0, len(piece) - 1):
-            out = self[piece[:-1]] + self.mark(piece[-1])
-        elif _LATIN.fullmatch(piece):
-            shown = (piece.lower() if self.folds else piece).encode().decode("latin-1").translate(_SHOWN)
-            out = array("H", [t.id for t in self.model.tokenize(shown if self.folds else "Ġ" + shown)]).tobytes()
+        word = piece if piece.isalpha() else piece[:-1]
+        if (word.isascii() or _LATIN.fullmatch(word)) and word.isalpha() and (word is piece or piece[-1] in _MARKS):
+            if self.folds and not word.isascii():
+                word = word.lower()
+            out = array("H", self.bpe(word)).tobytes()
+            if word is not piece and piece[-1] in _MARKS:
+                out += self.mark(piece[-1])
         else:
             out = self.whole(piece if self.folds else " " + piece)
         self[piece] = out
         return out
 
     def mark(self, mark: str) -> bytes:
-        key = "\0" + mark
-        if key not in self:
-            self[key] = self.whole(mark)
-        return self[key]
+        out = self.marks.get(mark)
+        if out is None:
+            out = self.marks[mark] = self.whole(mark)
+        return out
 
 
 class MemoEncoder:
@@ -60,7 +69,7 @@ class MemoEncoder:
 
     _made: dict[tuple[str, int], MemoEncoder] = {}
 
-    def __init__(self, path: str, capacity: int = 1_200_000):
+    def __init__(self, path: str, capacity: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,7 +80,7 @@ class MemoEncoder:
         self.memo = _Memo(self.tokenizer, self.folds, capacity)
 
     @classmethod
-    def of(cls, path: str, capacity: int = 1_200_000) -> MemoEncoder:
+    def of(cls, path: str, capacity: int = 2_000_000) -> MemoEncoder:
         """One encoder per path and process, so that its memo outlives a task."""
         key = path, capacity
         if key not in cls._made:
@@ -84,7 +93,9 @@ class MemoEncoder:
             if self.folds:
                 out.append(whole(t) if _CONTROL.search(t) else join(map(get, t.split())))
             else:
-                p = [x[n > 0 :] for n, x in enumerate(_SPLIT.split(t))] if _ODD.search(t) else t.split(" ")
+                p = t.split(" ")
+                if "" in p or "\n " in t or "\t " in t or "\r " in t or any(c in t for c in _OTHER):  # cuts at every space could split a run
+                    p = [x[n > 0 :] for n, x in enumerate(_SPLIT.split(t))]
                 head = whole(p[0])
                 p[0] = ""
                 rest = map(get, p)

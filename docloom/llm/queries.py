@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, language_id, packing, token_store, toxicity
+from . import decontaminate, exact_dedup, html_text, language_id, minhash, packing, token_store, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs, public_tokenizers.path("piece_bpe_32k.model")))
@@ -42,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_html_text, op5_decontaminate, op6_token_store, op8_language_id, op9_packing, op10_toxicity]
+    found = [op1_exact_dedup, op2_html_text, op5_decontaminate, op6_token_store, op7_minhash, op8_language_id, op9_packing, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
