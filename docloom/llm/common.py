@@ -101,6 +101,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hash(prefix_hash(data, lower=True), starts, ends), first
 
 
+def running(h: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... hashes, modulo 2 ** 64."""
+    return np.concatenate((np.zeros(1, dtype=U64), np.cumsum(h, dtype=U64)))
+
+
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 
 

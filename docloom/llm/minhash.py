@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, byte_view, mix, shingles, stash, word_hashes
+from .common import U64, blocks, byte_view, mix, running, shingles, stash, word_hashes
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -108,9 +108,9 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             for i, j in blocks(off, 1 << 19):
                 s, c, o = multisets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 n = np.bincount(np.repeat(np.arange(j - i), np.diff(o)), c, j - i).astype(np.int64)
-                at = np.append(0, np.cumsum(mix(s + c.astype(U64) * U64(0x9E3779B97F4A7C15)), dtype=U64))
-                also = np.append(0, np.cumsum(mix(mix(s) ^ c.astype(U64)), dtype=U64))
-                sums = [x[o[1:]] - x[o[:-1]] for x in (at.astype(U64), also.astype(U64))]
+                at = running(mix(s + c.astype(U64) * U64(0x9E3779B97F4A7C15)))
+                also = running(mix(mix(s) ^ c.astype(U64)))
+                sums = [x[o[1:]] - x[o[:-1]] for x in (at, also)]
                 raw = bands(signatures(s, c, o)).tobytes()
                 keys = [raw[x : x + 8 * BANDS] for x in range(0, len(raw), 8 * BANDS)]
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(keys, pa.binary())], ["id", "n", "c1", "c2", "keys"])

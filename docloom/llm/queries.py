@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, language_id, minhash, packing, token_store, toxicity
+from . import decontaminate, exact_dedup, html_text, language_id, line_dedup, minhash, packing, token_store, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_html_text, op5_decontaminate, op6_token_store, op7_minhash, op8_language_id, op9_packing, op10_toxicity]
+    found = [op1_exact_dedup, op2_html_text, op4_line_dedup, op5_decontaminate, op6_token_store, op7_minhash, op8_language_id, op9_packing, op10_toxicity]
     return {f.__name__: f for f in found}
 
 

@@ -117,3 +117,39 @@ def near_classes(rows, threshold=0.8):
         if x != y and multiset_similarity(counts[a], counts[b]) >= threshold:
             parent[max(x, y)] = min(x, y)
     return {d: find(d) for d in parent}
+
+
+def similar_lines(rows, t=0.8):
+    """doc -> (n_lines, n_removed, n_links)."""
+    lines = []
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        parts = (text or "").split("\n")
+        if parts[-1] == "":
+            parts.pop()
+        lines += [(d, i, frozenset(words(p))) for i, p in enumerate(parts)]
+    first = {}
+    for d, i, s in lines:
+        if s:
+            first.setdefault(s, (d, i))
+    by = defaultdict(list)
+    for s in first:
+        for w in s:
+            by[w].append(s)
+    links, drop = defaultdict(int), set()
+    for s in first:
+        shared = defaultdict(int)
+        for w in s:
+            for o in by[w]:
+                shared[o] += 1
+        for o, n in shared.items():
+            if o != s and n >= t * (len(s) + len(o) - n) - 1e-9:
+                links[s] += 1
+                if first[o] < first[s]:
+                    drop.add(s)
+    out = {d: [0, 0, set()] for d, _ in rows}
+    for d, i, s in lines:
+        out[d][0] += 1
+        if s:
+            out[d][1] += first[s] != (d, i) or s in drop
+            out[d][2].add(s)
+    return {d: (n, gone, sum(links[s] for s in own)) for d, (n, gone, own) in out.items()}
