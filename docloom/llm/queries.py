@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, language_id, line_dedup, minhash, packing, token_store, toxicity
+from . import decontaminate, exact_dedup, html_text, language_id, line_dedup, minhash, packing, substring_dedup, token_store, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,8 +53,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_html_text, op4_line_dedup, op5_decontaminate, op6_token_store, op7_minhash, op8_language_id, op9_packing, op10_toxicity]
+    found = [op1_exact_dedup, op2_html_text, op3_substring_dedup, op4_line_dedup, op5_decontaminate, op6_token_store, op7_minhash, op8_language_id, op9_packing, op10_toxicity, pipeline]
     return {f.__name__: f for f in found}
 
 
