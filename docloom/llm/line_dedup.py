@@ -7,7 +7,8 @@ the work depends on it). Two sets with a Jaccard similarity of t share a word am
 each (the prefix); a frequent word in the prefix is replaced by its combinations with the words after it in the prefix
 made longer by one for each, because two such sets share at least four words. Sets under the same key become candidates
 if their sizes and the key's places leave room for the overlap (length and positional filters); candidates are verified
-on the whole sets. Sets of fewer than 1 / (1 - t) - 1 words can only equal another and take no part.
+on the whole sets. Sets of fewer than 1 / (1 - t) - 1 words can only equal another and take no part. Words are told
+apart by 32-bit hashes and sets by 64-bit hashes.
 
 A line is removed if an earlier line of the input has the same set or one with a similarity of t or more. Lines without
 words stay and match nothing. Null text counts as empty; rows with a null id are placed before all others; rows that
@@ -28,37 +29,50 @@ from pyspark.sql import functions as F
 from .common import U64, blocks, byte_view, mix, prefix_hash, running, span_hash, stash, word_spans
 
 COUNT_BITS, SLICES = 20, 64
+WORD_BITS, RANK_BITS = 32, 13
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each line (hashes of 40 bits, grouped by line), the lines' offsets in them, the lines' rows and numbers."""
-    ends = np.flatnonzero(data == 10) + 1
-    starts = np.unique(np.concatenate((offsets[:-1], ends[ends < len(data)])))
-    filled = np.diff(offsets) > 0
-    starts = starts[np.isin(starts, offsets[:-1][filled]) | ~np.isin(starts, offsets)] if len(data) else starts[:0]
+def line_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where each line of each row starts; an LF at the end of a row starts none."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    mark = np.zeros(len(data) + 1, dtype=bool)
+    mark[1:] = data == 10
+    mark[offsets] = False
+    mark[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(mark)
+
+
+def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, first = word_spans(data, edges)
+    return span_hash(prefix_hash(data, lower=True), starts, ends) >> U64(64 - WORD_BITS), first
+
+
+def line_sets(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each line (32-bit hashes), rarest first, the lines' offsets in them, the lines' rows and numbers."""
+    starts = line_starts(data, offsets)
     row = np.searchsorted(offsets, starts, "right") - 1
     number = np.arange(len(starts)) - np.searchsorted(row, row)
-    edges = np.append(starts, len(data))
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(1, np.int64), row, number
-    a, b, first = word_spans(data, edges)
-    h = span_hash(prefix_hash(data, lower=True), a, b) >> U64(24)
-    line = np.repeat(np.arange(len(starts)), np.diff(first))
-    key = np.sort((line.astype(U64) << U64(40)) | h)
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64), row, number
+    word, first = _words(data, np.append(starts, len(data)))
+    line = np.repeat(np.arange(len(starts), dtype=U64), np.diff(first))
+    key = line << U64(WORD_BITS + RANK_BITS) | ranks[(word >> U64(WORD_BITS - COUNT_BITS)).astype(np.int64)] << U64(WORD_BITS) | word
+    key = np.sort(key)
     key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
-    return key & U64((1 << 40) - 1), np.searchsorted((key >> U64(40)).astype(np.int64), np.arange(len(edges))), row, number
+    return (key & U64((1 << WORD_BITS) - 1)).astype(np.uint32), np.searchsorted((key >> U64(WORD_BITS + RANK_BITS)).astype(np.int64), np.arange(len(starts) + 1)), row, number
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """Lines in which words of each hash bucket occur, over all of docs (text): 2 ** COUNT_BITS numbers."""
+    """How often words of each hash bucket occur, over all of docs (text): 2 ** COUNT_BITS numbers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
         for batch in batches:
             data, off = byte_view(batch.column(0))
             for i, j in blocks(off):
-                words = line_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])[0]
-                total += np.bincount((words >> U64(40 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+                word, _ = _words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                np.add.at(total, (word >> U64(WORD_BITS - COUNT_BITS)).astype(np.int64), 1)
         parts = total.reshape(SLICES, -1)
         yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"])
 
@@ -74,11 +88,6 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def needed(n: int, m: int, t: float) -> int:
-    """Shared words that sets of n and m words need for a Jaccard similarity of t."""
-    return math.ceil(t / (1 + t) * (n + m) - 1e-9)
-
-
 def keys_of(words: np.ndarray, frequent: np.ndarray, n: int, prefix: int, depth: int = 3) -> list[tuple[int, int]]:
     """(key, words of the set from the key's first word on) of a set of n words; words: the first ones, rarest first."""
     out: list[tuple[int, int]] = []
@@ -97,29 +106,36 @@ def keys_of(words: np.ndarray, frequent: np.ndarray, n: int, prefix: int, depth:
 
 
 def profile(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Lines of docs (id, text): id, line, n (words), c1 (64-bit hash of the set), words (packed hashes, rarest first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    """Lines of docs (id, text): id, line, n (words), c1 (64-bit hash of the set), words.
+
+    words: packed hashes, rarest first; null where the block had the set before.
+    """
+    ranks = np.minimum(256 * np.log2(1 + counts), (1 << RANK_BITS) - 1).astype(np.uint16)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value.astype(U64)
         for batch in batches:
             data, off = byte_view(batch.column(1))
-            for i, j in blocks(off, 1 << 19):
-                words, o, row, number = line_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            for i, j in blocks(off):
+                words, o, row, number = line_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], ranks)
                 n = np.diff(o)
-                at = running(mix(words))
-                also = running(mix(words ^ U64(0x5851F42D4C957F2D)))
-                c1 = mix(mix(at[o[1:]] - at[o[:-1]]) + (also[o[1:]] - also[o[:-1]]) + n.astype(U64)).view(np.int64)
-                line = np.repeat(np.arange(len(n)), n)
-                rank = shared.value[(words >> U64(40 - COUNT_BITS)).astype(np.int64)]
-                order = np.lexsort((words, rank, line))
-                raw = words[order].tobytes()
-                packed = [raw[8 * a : 8 * b] for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+                wide = words.astype(U64) + U64(1)
+                one, two = running(mix(wide)), running(mix(wide ^ U64(0x5851F42D4C957F2D)))
+                c1 = mix(mix(one[o[1:]] - one[o[:-1]]) + (two[o[1:]] - two[o[:-1]]) + n.astype(U64)).view(np.int64)
+                raw, a, b = words.tobytes(), (4 * o[:-1]).tolist(), (4 * o[1:]).tolist()
+                packed: list = [None] * len(n)
+                for x in np.unique(c1, return_index=True)[1].tolist():
+                    packed[x] = raw[a[x] : b[x]]
                 ids = batch.column(0).slice(i, j - i).take(pa.array(row))
                 yield pa.record_batch([ids, pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(c1), pa.array(packed, pa.binary())], ["id", "line", "n", "c1", "words"])
 
     return docs.select("id", "text").mapInArrow(each, "id long, line long, n long, c1 long, words binary")
 
 
+POSTING = np.dtype([("key", "<u8"), ("c1", "<u8"), ("n", "<u4"), ("left", "<u4")])
+
+
 def keyed(sets: DataFrame, counts: np.ndarray, t: float, buckets: int) -> DataFrame:
     """Packed postings by bucket of their keys: key, c1, n and words left, of the sets that can match another."""
     typical = max(64, int(4 * counts[counts > 0].mean())) if (counts > 0).any() else 64
@@ -132,7 +148,7 @@ def keyed(sets: DataFrame, counts: np.ndarray, t: float, buckets: int) -> DataFr
 
         def out() -> pa.RecordBatch:
             rows = np.concatenate(held)
-            where = (mix(rows[:, 0]) % U64(buckets)).astype(np.int64)
+            where = (mix(rows["key"]) % U64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             rows, where = rows[order], where[order]
             cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
@@ -140,23 +156,25 @@ def keyed(sets: DataFrame, counts: np.ndarray, t: float, buckets: int) -> DataFr
             return pa.record_batch([pa.array(where[cut], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "postings"])
 
         for batch in batches:
-            n = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            c1 = np.array(batch.column(1).to_pylist(), dtype=np.int64)
+            n = np.asarray(batch.column(0))
+            c1 = np.asarray(batch.column(1)).view(U64)
+            data, off = byte_view(batch.column(2))
+            words, first = np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint32), (off[:-1] - off[0]) // 4
             for size_n in np.unique(n[n >= least]).tolist():
                 some = np.flatnonzero(n == size_n)
-                words = np.frombuffer(b"".join(batch.column(2).take(pa.array(some)).to_pylist()), U64).reshape(len(some), size_n)
                 prefix = size_n - math.ceil(t * size_n - 1e-9) + 1
-                hot = shared.value[(words[:, : prefix + 2] >> U64(40 - COUNT_BITS)).astype(np.int64)]
+                own = words[first[some][:, None] + np.arange(min(prefix + 2, size_n))].astype(U64)
+                hot = shared.value[(own >> U64(WORD_BITS - COUNT_BITS)).astype(np.int64)]
                 plain = ~hot[:, :prefix].any(axis=1)
-                rows = np.empty((int(plain.sum()), prefix, 3), dtype=U64)
-                rows[:, :, 0] = words[plain, :prefix] + U64(1)
-                rows[:, :, 1] = c1[some[plain]].view(U64)[:, None]
-                rows[:, :, 2] = U64(size_n << 32) | (size_n - np.arange(prefix)).astype(U64)
-                held.append(rows.reshape(-1, 3))
+                rows = np.empty((int(plain.sum()), prefix), dtype=POSTING)
+                rows["key"] = own[plain, :prefix] + U64(1)
+                rows["c1"] = c1[some[plain]][:, None]
+                rows["n"], rows["left"] = size_n, size_n - np.arange(prefix)
+                held.append(rows.reshape(-1))
                 size += held[-1].nbytes
                 for i in np.flatnonzero(~plain).tolist():
-                    found = keys_of(words[i], hot[i], size_n, prefix)
-                    held.append(np.array([(k, int(c1[some[i]]) & 0xFFFFFFFFFFFFFFFF, size_n << 32 | left) for k, left in found], dtype=U64).reshape(-1, 3))
+                    found = keys_of(own[i], hot[i], size_n, prefix)
+                    held.append(np.array([(k, int(c1[some[i]]), size_n, left) for k, left in found], dtype=POSTING))
                     size += held[-1].nbytes
             if size > 16 << 20:
                 yield out()
@@ -171,10 +189,9 @@ def candidates(postings: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) of set classes, by c1, that pass the length and positional filters under a key; repeats remain."""
 
     def join(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, U64).reshape(-1, 3) for x in group.column("postings").to_pylist()])
-        n, left = (rows[:, 2] >> U64(32)).astype(np.int64), (rows[:, 2] & U64(0xFFFFFFFF)).astype(np.int64)
-        order = np.lexsort((n, rows[:, 0]))
-        key, c1, n, left = rows[order, 0], rows[order, 1], n[order], left[order]
+        rows = np.concatenate([np.frombuffer(x, POSTING) for x in group.column("postings").to_pylist()])
+        order = np.lexsort((rows["n"], rows["key"]))
+        key, c1, n, left = rows["key"][order], rows["c1"][order], rows["n"][order].astype(np.int64), rows["left"][order].astype(np.int64)
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         ends = np.append(cut[1:], len(key))
         end_of = np.repeat(ends, ends - cut)
@@ -206,10 +223,10 @@ def verify(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
             for i in range(0, batch.num_rows, 4000):
                 part = batch.slice(i, 4000)
                 x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
-                nx, ny = (np.array([len(v) // 8 for v in s], dtype=np.int64) for s in (x, y))
-                row = [np.repeat(np.arange(len(k), dtype=np.int64), k).astype(U64) << U64(40) for k in (nx, ny)]
-                both = np.intersect1d(row[0] | np.frombuffer(b"".join(x), U64), row[1] | np.frombuffer(b"".join(y), U64), assume_unique=True)
-                shared = np.bincount((both >> U64(40)).astype(np.int64), minlength=len(nx))
+                nx, ny = (np.array([len(v) // 4 for v in s], dtype=np.int64) for s in (x, y))
+                row = [np.repeat(np.arange(len(k), dtype=np.int64), k).astype(U64) << U64(WORD_BITS) for k in (nx, ny)]
+                both = np.intersect1d(row[0] | np.frombuffer(b"".join(x), np.uint32), row[1] | np.frombuffer(b"".join(y), np.uint32), assume_unique=True)
+                shared = np.bincount((both >> U64(WORD_BITS)).astype(np.int64), minlength=len(nx))
                 yield part.select(["a", "b"]).filter(pa.array(shared >= t * (nx + ny - shared) - 1e-9))
 
     left = sets.select(F.col("c1").alias("a"), F.col("words").alias("x"))
@@ -223,12 +240,12 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = word_counts(source.select("text"))
     buckets = max(16, int(counts.sum() // 1_000_000))
     lines = stash(profile(source, counts), "lines")
-    first = F.min(F.struct("id", "line")).alias("first")
-    sets = stash(lines.where("n > 0").groupBy("c1").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "sets")
-    once = lines.join(sets.select("c1", "first"), "c1").where(F.struct("id", "line").eqNullSafe(F.col("first")))
-    words = stash(once.select("c1", "n", "words").dropDuplicates(["c1"]), "words")
+    sets = stash(lines.where("n > 0").groupBy("c1").agg(F.min(F.struct("id", "line")).alias("first")), "sets")
+    words = lines.where("words is not null and n > 0").select("c1", "n", "words")
     pairs = stash(candidates(keyed(words, counts, threshold, buckets), threshold).distinct(), "pairs")
-    links = stash(verify(pairs, words.select("c1", "words"), threshold), "links")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
+    some = stash(words.select("c1", "words").join(asked, "c1", "left_semi").dropDuplicates(["c1"]), "words")
+    links = stash(verify(pairs, some, threshold), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     earliest = both.join(sets.select(F.col("c1").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links"))
     classes = sets.join(earliest.withColumnRenamed("a", "c1"), "c1", "left").select("c1", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("drop_first"), F.coalesce("links", F.lit(0)).alias("links"))
