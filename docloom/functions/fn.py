@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import REMOVE, Acc, Order, compare, directions, is_date, sort_key, to_col, type_of
+from .core import REMOVE, Acc, Order, compare, directions, is_date, sort_key, to_col
+from .core import type_of as kind_of
 
 c = to_col
 
@@ -37,7 +38,7 @@ def _truthy(x: Column) -> Column:
 
 def _same_type(name: str) -> Callable[[Any], Column]:
     def run(x: Any) -> Column:
-        kind, out = type_of(x), getattr(F, name)(c(x))
+        kind, out = kind_of(x), getattr(F, name)(c(x))
         return out.cast(kind) if kind is not None else out
 
     return run
@@ -90,10 +91,14 @@ def _millis(d: Column) -> Column:
     return F.unix_millis(d.cast("timestamp"))
 
 
-def _like(d: Any, millis: Column) -> Column:
-    """A date from milliseconds, of the type of d."""
-    out = F.timestamp_millis(millis.cast("bigint"))
-    return out if isinstance(type_of(d), T.TimestampType) else out.cast("timestamp_ntz")
+def _micros(d: Column) -> Column:
+    return F.unix_micros(d.cast("timestamp"))
+
+
+def _like(d: Any, micros: Column) -> Column:
+    """A date from microseconds, of the type of d."""
+    out = F.timestamp_micros(micros.cast("bigint"))
+    return out if isinstance(kind_of(d), T.TimestampType) else out.cast("timestamp_ntz")
 
 
 def add(*xs: Any) -> Column:
@@ -101,13 +106,13 @@ def add(*xs: Any) -> Column:
     if len(dates) > 1:
         raise TypeError("add takes one date at most")
     if dates:
-        return _like(dates[0], fold(lambda a, b: a + b, [_millis(c(x)) if x is dates[0] else c(x) for x in xs]))
+        return _like(dates[0], fold(lambda a, b: a + b, [_micros(c(x)) if x is dates[0] else (c(x) * 1000).cast("bigint") for x in xs]))
     return fold(lambda a, b: a + b, map(c, xs))
 
 
 def subtract(a: Any, b: Any) -> Column:
     if is_date(a):
-        return _millis(c(a)) - _millis(c(b)) if is_date(b) else _like(a, _millis(c(a)) - c(b))
+        return F.floor((_micros(c(a)) - _micros(c(b))) / 1000) if is_date(b) else _like(a, _micros(c(a)) - (c(b) * 1000).cast("bigint"))
     return c(a) - c(b)
 
 
@@ -116,7 +121,7 @@ def multiply(*xs: Any) -> Column:
 
 
 def divide(a: Any, b: Any) -> Column:
-    decimal = isinstance(type_of(a), T.DecimalType) or isinstance(type_of(b), T.DecimalType)
+    decimal = isinstance(kind_of(a), T.DecimalType) or isinstance(kind_of(b), T.DecimalType)
     return c(a) / c(b) if decimal else c(a).cast("double") / c(b)
 
 
@@ -125,13 +130,13 @@ def mod(a: Any, b: Any) -> Column:
 
 
 def pow(a: Any, b: Any) -> Column:
-    kinds, out = (type_of(a), type_of(b)), F.pow(c(a), c(b))
+    kinds, out = (kind_of(a), kind_of(b)), F.pow(c(a), c(b))
     whole = all(isinstance(k, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) for k in kinds)
     return out.cast("bigint") if whole else out
 
 
 def _scaled(x: Any, place: Any, how: Callable[[Column], Column]) -> Column:
-    kind, power = type_of(x), F.pow(F.lit(10.0), c(place))
+    kind, power = kind_of(x), F.pow(F.lit(10.0), c(place))
     out = how(c(x) * power) / power
     return out.cast(kind) if kind is not None else out
 
@@ -139,7 +144,7 @@ def _scaled(x: Any, place: Any, how: Callable[[Column], Column]) -> Column:
 def round(x: Any, place: Any = 0) -> Column:
     """Half to even; place may be negative or an expression."""
     if isinstance(place, int):
-        kind, out = type_of(x), F.bround(c(x), place)
+        kind, out = kind_of(x), F.bround(c(x), place)
         return out.cast(kind) if kind is not None else out
     return _scaled(x, place, F.bround)
 
@@ -471,7 +476,7 @@ def reduce(input: Any, initial_value: Any, in_: Callable[[Column, Column], Any])
 
 
 def _struct_fields(x: Any) -> list[str]:
-    kind = type_of(x)
+    kind = kind_of(x)
     if not isinstance(kind, T.StructType):
         raise TypeError("a document expression is needed")
     return kind.fieldNames()
@@ -497,7 +502,7 @@ def merge_objects(*docs: Any) -> Any:
 
 
 def object_to_array(doc: Any) -> Column:
-    if isinstance(type_of(doc), T.MapType):
+    if isinstance(kind_of(doc), T.MapType):
         return F.transform(F.map_entries(c(doc)), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
     own = c(doc)
     return F.when(own.isNotNull(), F.array(*(F.struct(F.lit(f).alias("k"), own[f].alias("v")) for f in _struct_fields(doc))))
@@ -537,7 +542,7 @@ def _local(d: Any, timezone: str | None) -> Column:
 
 def _back(d: Column, timezone: str | None, like: Any) -> Column:
     out = F.to_utc_timestamp(d, timezone) if timezone and timezone not in ("UTC", "GMT", "Z") else d
-    return out if isinstance(type_of(like), T.TimestampType) else out.cast("timestamp_ntz")
+    return out if isinstance(kind_of(like), T.TimestampType) else out.cast("timestamp_ntz")
 
 
 def _part(take: Callable[[Column], Column], kind: str = "int") -> Callable[..., Column]:
@@ -558,7 +563,7 @@ iso_day_of_week = _part(lambda d: F.weekday(d) + 1)
 def date_add(start_date: Any, unit: str, amount: Any, timezone: str | None = None) -> Column:
     local, n = _local(start_date, timezone), c(amount).cast("bigint")
     if unit == "millisecond":
-        moved = F.timestamp_millis(_millis(local) + n)
+        moved = F.timestamp_micros(_micros(local) + n * 1000)
     else:
         moved = F.timestamp_add(unit.upper(), n.cast("int"), local)
     return _back(moved, timezone, start_date)
@@ -687,14 +692,14 @@ def ts_increment(ts: Any) -> Column:
 
 
 def to_string(x: Any) -> Column:
-    return date_to_string(x) if is_date(x) and not isinstance(type_of(x), T.DateType) else c(x).cast("string")
+    return date_to_string(x) if is_date(x) and not isinstance(kind_of(x), T.DateType) else c(x).cast("string")
 
 
 to_string_ = to_string
 
 
 def to_bool(x: Any) -> Column:
-    kind, v = type_of(x), c(x)
+    kind, v = kind_of(x), c(x)
     if isinstance(kind, T.BooleanType):
         return v
     if isinstance(kind, T.NumericType):
@@ -705,7 +710,7 @@ def to_bool(x: Any) -> Column:
 def _number(kind: str) -> Callable[[Any], Column]:
     def run(x: Any) -> Column:
         v = _millis(c(x)) if is_date(x) else c(x)
-        own = type_of(x)
+        own = kind_of(x)
         if kind in ("int", "bigint") and isinstance(own, (T.DoubleType, T.FloatType, T.DecimalType)):
             v = F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v))
         return v.cast(kind)
@@ -717,7 +722,7 @@ to_int, to_long, to_double, to_decimal = _number("int"), _number("bigint"), _num
 
 
 def to_date(x: Any) -> Column:
-    kind, v = type_of(x), c(x)
+    kind, v = kind_of(x), c(x)
     if isinstance(kind, T.IntegerType):
         raise TypeError("to_date refuses int32")
     if isinstance(kind, T.StringType):
@@ -739,7 +744,7 @@ def to_uuid(x: Any) -> Column:
 
 
 def to_array(x: Any, element: str = "variant") -> Column:
-    return c(x) if isinstance(type_of(x), T.ArrayType) else F.from_json(c(x), f"array<{element}>")
+    return c(x) if isinstance(kind_of(x), T.ArrayType) else F.from_json(c(x), f"array<{element}>")
 
 
 def to_object(x: Any, schema: str | None = None) -> Column:
@@ -763,9 +768,9 @@ def convert(input: Any, to: str, format: str | None = None, on_error: Any = ...,
         out = _millis(v).cast(kind)
     elif is_date(input) and to == "string":
         out = to_string(input)
-    elif to == "date" and isinstance(type_of(input), T.NumericType):
+    elif to == "date" and isinstance(kind_of(input), T.NumericType):
         out = F.timestamp_millis(v.cast("bigint")).cast("timestamp_ntz")
-    elif isinstance(type_of(input), (T.DoubleType, T.DecimalType)) and to in ("int", "long"):
+    elif isinstance(kind_of(input), (T.DoubleType, T.DecimalType)) and to in ("int", "long"):
         out = (F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v))).try_cast(kind) if on_error is not ... else _number(kind)(input)
     else:
         out = v.try_cast(kind) if on_error is not ... else v.cast(kind)
@@ -775,14 +780,14 @@ def convert(input: Any, to: str, format: str | None = None, on_error: Any = ...,
 
 
 def is_number(x: Any) -> Column:
-    kind = type_of(x)
+    kind = kind_of(x)
     if kind is not None and not isinstance(kind, T.VariantType):
         return c(x).isNotNull() & F.lit(isinstance(kind, T.NumericType))
     return F.coalesce(F.typeof(c(x)).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$"), F.lit(False))
 
 
 def is_array(x: Any) -> Column:
-    kind = type_of(x)
+    kind = kind_of(x)
     if kind is not None:
         return c(x).isNotNull() & F.lit(isinstance(kind, T.ArrayType))
     return F.typeof(c(x)).startswith("array")
@@ -795,7 +800,10 @@ def type_name(kind: T.DataType | None) -> str:
 
 def type_(x: Any) -> Column:
     """The type's alias; null for null and missing."""
-    return F.when(c(x).isNull(), "null").otherwise(type_name(type_of(x)))
+    return F.when(c(x).isNull(), "null").otherwise(type_name(kind_of(x)))
+
+
+type_of = type_
 
 
 def subtype(x: Any) -> Column:
@@ -804,7 +812,7 @@ def subtype(x: Any) -> Column:
 
 def _hashed(input: Any, algorithm: str) -> Column:
     v = c(input)
-    data = F.encode(v, "UTF-8") if isinstance(type_of(input), T.StringType) else v
+    data = F.encode(v, "UTF-8") if isinstance(kind_of(input), T.StringType) else v
     if algorithm == "md5":
         return F.upper(F.md5(data))
     if algorithm == "sha256":
@@ -863,7 +871,7 @@ def _bson_fields(doc: Column, kind: T.StructType) -> Column:
 
 def bson_size(doc: Any) -> Column:
     """Encoded size by type; a null field counts as a stored null."""
-    kind = type_of(doc)
+    kind = kind_of(doc)
     if not isinstance(kind, T.StructType):
         raise TypeError("bson_size needs a document")
     return F.when(c(doc).isNotNull(), _bson_fields(c(doc), kind))
@@ -893,7 +901,7 @@ def _ejson(v: Column, kind: T.DataType, relaxed: bool) -> Column:
 
 
 def serialize_ejson(input: Any, relaxed: bool = True, on_error: Any = None) -> Column:
-    kind = type_of(input)
+    kind = kind_of(input)
     out = _ejson(c(input), kind, relaxed) if kind is not None else c(input)
     inner = out if isinstance(kind, (T.StructType, T.ArrayType, T.TimestampType, T.TimestampNTZType, T.DecimalType, T.BinaryType)) or not relaxed else None
     return F.to_json(inner) if inner is not None else F.regexp_replace(F.to_json(F.struct(out.alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":|\}$', "")
@@ -992,13 +1000,13 @@ def _numbers(a: Column) -> Column:
     return F.filter(a, lambda x: x.isNotNull())
 
 
-def _dual(agg: Callable[[Column], Column], array: Callable[[Column], Column]) -> Callable[..., Any]:
+def _dual(agg: Callable[[Column], Column], array: Callable[[Column], Column], framed: Callable | None = None) -> Callable[..., Any]:
     """One argument: accumulator, window function, and the same over the elements of an array; more: over the arguments."""
 
     def run(*xs: Any) -> Any:
         if len(xs) > 1:
             return array(F.array(*map(c, xs)))
-        return Acc(lambda order: agg(c(xs[0])), lambda: array(c(xs[0])), lambda w: agg(c(xs[0])).over(w))
+        return Acc(lambda order: agg(c(xs[0])), lambda: array(c(xs[0])), lambda w: (framed or (lambda x, w: agg(x).over(w)))(c(xs[0]), w))
 
     return run
 
@@ -1015,7 +1023,7 @@ def _array_deviation(a: Column, less: int) -> Column:
     return F.when(n > less, F.sqrt(total / (n - less)))
 
 
-sum = _dual(lambda x: F.coalesce(F.sum(x), F.lit(0)), lambda a: F.aggregate(_numbers(a), F.lit(0.0), lambda s, x: s + x))
+sum = _dual(lambda x: F.coalesce(F.sum(x), F.lit(0)), lambda a: F.aggregate(_numbers(a), F.lit(0.0), lambda s, x: s + x), lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0)))
 avg = _dual(F.avg, _array_mean)
 min = _dual(F.min, F.array_min)
 max = _dual(F.max, F.array_max)
@@ -1059,7 +1067,7 @@ def add_to_set(x: Any) -> Acc:
 
 
 def _ends(x: Any, order: Order, last: bool) -> Column:
-    if order and (all_([up for _, up in order]) or all_([not isinstance(type_of(k), T.StringType) for k, up in order if not up])):
+    if order and (all_([up for _, up in order]) or all_([not isinstance(kind_of(k), T.StringType) for k, up in order if not up])):
         return (F.max_by if last else F.min_by)(F.struct(c(x).alias("v")), sort_key(order))["v"]
     own = _gather(x)(order)
     return F.get(own, F.size(own) - 1) if last else F.get(own, F.lit(0))

@@ -70,10 +70,14 @@ def _walk(root: Column | None, steps: list, test: Any) -> Column:
             here = F.try_element_at(here, F.lit(arg))
         else:
             rest = steps[n + 1 :]
-            return _sure(F.exists(here, lambda x, rest=rest, kind=kind: _walk(x, rest, test) if rest else test(x, kind)))
+            return _sure(F.exists(here, _inner(rest, kind, test)))
     return test(here, kind)
 
 
+def _inner(rest: list, kind: T.DataType, test: Any) -> Any:
+    return lambda x: _walk(x, rest, test) if rest else test(x, kind)
+
+
 def _any(col: Column, kind: T.DataType, test: Any) -> Column:
     """test(value) for the value or, with an array, for any element."""
     return _sure(F.exists(col, test)) if isinstance(kind, T.ArrayType) else _sure(test(col))

@@ -462,10 +462,10 @@ class Pipeline:
         kind = df.select(local.alias("x")).schema[0].dataType
         empty = F.array().cast(T.ArrayType(T.StructType(schema.fields)))
         if isinstance(kind, T.ArrayType):  # any element may match
-            own = df.withColumn("__row", F.monotonically_increasing_id())
-            keys = own.select("__row", F.explode(F.array_distinct(column_of(local))).alias("__local"))
-            found = keys.join(rows, F.col("__local").eqNullSafe(F.col("__key"))).groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__rows")))).alias("__rows"))
-            out = own.join(found, "__row", "left").drop("__row")
+            own = df.withColumn("__list", local)  # equal lists are looked up once
+            keys = own.where("__list is not null").select("__list").distinct().select("__list", F.explode(F.array_distinct("__list")).alias("__local"))
+            found = keys.join(rows, F.col("__local").eqNullSafe(F.col("__key"))).groupBy(F.col("__list").alias("__l")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__rows")))).alias("__rows"))
+            out = own.join(found, F.col("__list") == F.col("__l"), "left").drop("__list", "__l")
         else:
             out = df.withColumn("__local", local).join(rows, F.col("__local").eqNullSafe(F.col("__key")), "left").drop("__key", "__local")
         return out.withColumn("__rows", F.coalesce("__rows", empty)).withColumn(as_, F.col("__rows")).drop("__rows") if "." not in as_ else set_path(out.withColumn("__rows", F.coalesce("__rows", empty)), as_, F.col("__rows")).drop("__rows")
@@ -730,10 +730,6 @@ class Pipeline:
         return self.df.select(*schema.fieldNames())
 
 
-def column_of(col: Column) -> Column:
-    return col
-
-
 def literal_rows(spark: SparkSession, rows: list[dict], schema: Any = None) -> DataFrame:
     return spark.createDataFrame(rows, schema) if schema is not None or rows else spark.range(0).select(F.lit(None).cast("string").alias("_id"))
 

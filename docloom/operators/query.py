@@ -247,16 +247,20 @@ def populate(df: DataFrame, path: str, target: DataFrame, key: str = "_id", sele
     right = right.select(F.col(f"`{key}`").alias("__ref"), (transform(doc) if transform else doc).alias("__doc"))
     kind = df.schema[path].dataType
     if isinstance(kind, (T.ArrayType, T.MapType)):
-        own = df.withColumn("__row", F.monotonically_increasing_id())
         many = isinstance(kind, T.ArrayType)
-        made = own.select("__row", F.posexplode(path).alias("__at", "__id") if many else F.explode(path).alias("__at", "__id"))
-        found = made.join(right, F.col("__id") == F.col("__ref"), "left" if retain_null_values else "inner")
+        key_col = F.col(f"`{path}`") if many else F.array_sort(F.map_entries(F.col(f"`{path}`")))
+        own = df.withColumn("__key", key_col)  # equal lists are looked up once
+        lists = own.where("__key is not null").select("__key").distinct()
+        made = lists.select("__key", F.posexplode("__key").alias("__at", "__id"))
+        ref = F.col("__id") if many else F.col("__id.value")
+        found = made.join(right, ref == F.col("__ref"), "left" if retain_null_values else "inner")
         pair = F.struct("__at", F.col("__doc").alias("d"))
-        rows = F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["d"]) if many else F.map_from_entries(F.collect_list(F.struct(F.col("__at").alias("key"), F.col("__doc").alias("value"))))
-        found = found.groupBy("__row").agg(rows.alias("__docs"))
-        out = own.join(found, "__row", "left")
-        empty = F.array().cast(found.schema["__docs"].dataType) if many else F.create_map().cast(found.schema["__docs"].dataType)
-        return out.withColumn(path, F.when(F.col(path).isNotNull(), F.coalesce("__docs", empty))).drop("__row", "__docs")
+        rows = F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["d"]) if many else F.map_from_entries(F.collect_list(F.struct(F.col("__id.key").alias("key"), F.col("__doc").alias("value"))))
+        found = found.groupBy("__key").agg(rows.alias("__docs"))
+        kind = found.schema["__docs"].dataType
+        empty = F.array().cast(kind) if many else F.create_map().cast(kind)
+        out = own.join(found.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left")
+        return out.withColumn(path, F.when(F.col("__key").isNotNull(), F.coalesce("__docs", empty))).select(*df.columns)
     out = df.join(right, F.col(f"`{path}`") == F.col("__ref"), "left")
     if required:
         out = out.withColumn("__doc", F.coalesce("__doc", F.when(F.lit(True), F.raise_error(F.lit(f"{path} refers to nothing")))))

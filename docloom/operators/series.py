@@ -105,10 +105,10 @@ def densify(df: DataFrame, field: str, step: float, unit: str | None = None, bou
     else:
         n = F.floor((F.col("__high") - F.col("__low")) / step + 1e-9).cast("int")
         points = F.transform(F.sequence(F.lit(0), n), lambda i: F.col("__low") + i * step)
-    made = parts.select(*by, "__high", F.explode(points).cast(kind).alias(field))
+    made = parts.select(*by, "__high", F.explode(points).alias("__point")).withColumn(field, F.col("__point").cast(kind)).drop("__point")
     if bounds not in ("full", "partition"):
         made = made.where(F.col(field) < F.col("__high"))
-    made = made.drop("__high")
+    made = made.select(*by, field)
     have = df.select(*by, field).distinct()
     same = [made[c].eqNullSafe(have[c]) for c in (*by, field)]
     cond = same[0]

@@ -129,13 +129,9 @@ def apply_update(df: DataFrame, update: Any, where: Column | None = None, array_
     """df with the rows under `where` changed by update operators or by a function of an update pipeline."""
     where = F.lit(True) if where is None else where
     if callable(update):
-        changed = update(Pipeline.update(df.withColumn("__hit", where))).df
-        out = []
-        base = df.withColumn("__hit", where)
-        for c in changed.columns:
-            if c != "__hit":
-                out.append(c)
-        both = update(Pipeline.update(base.select("*", F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__old")))).df
+        whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        both = update(Pipeline.update(df.withColumn("__hit", where).withColumn("__old", whole))).df
+        out = [c for c in both.columns if c not in ("__hit", "__old")]
         old = F.col("__old")
         cols = [F.when(F.col("__hit"), F.col(f"`{c}`")).otherwise(old[c] if c in df.columns else F.lit(None)).alias(c) for c in out]
         return both.select(*cols)
