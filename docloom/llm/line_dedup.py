@@ -185,6 +185,11 @@ def keyed(sets: DataFrame, counts: np.ndarray, t: float, buckets: int) -> DataFr
     return sets.select("n", "c1", "words").mapInArrow(each, "bucket int, postings binary")
 
 
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    own = mix(mix(np.ascontiguousarray(pairs[:, 0]).view(U64)) + np.ascontiguousarray(pairs[:, 1]).view(U64))
+    return pairs[np.unique(own, return_index=True)[1]]
+
+
 def candidates(postings: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) of set classes, by c1, that pass the length and positional filters under a key; repeats remain."""
 
@@ -208,8 +213,8 @@ def candidates(postings: DataFrame, t: float) -> DataFrame:
             x, y = c1[live[good]].view(np.int64), c1[other[good]].view(np.int64)
             out.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
             if len(out) > 200:
-                out = [np.unique(np.concatenate(out), axis=0)]
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+                out = [_distinct(np.concatenate(out))]
+        pairs = _distinct(np.concatenate(out)) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return postings.groupBy("bucket").applyInArrow(join, "a long, b long")
