@@ -72,35 +72,47 @@ class Model:
         return 1 - np.exp(np.bincount(rows, np.log1p(-np.minimum(p, 1 - 1e-12)), len(offsets) - 1))
 
 
-def telling(seen: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Features whose document frequency is higher in toxic documents, by a log-likelihood ratio of at least `least`. seen: doc << BITS | feature."""
-    names, doc = seen & ((1 << BITS) - 1), seen >> BITS
-    a = np.bincount(names, y[doc], 1 << BITS)
-    b = np.bincount(names, minlength=1 << BITS) - a
-    n, m = y.sum(), len(y) - y.sum()
+def telling(a: np.ndarray, b: np.ndarray, n: float, m: float, least: float) -> np.ndarray:
+    """Features with a higher document frequency in toxic documents (a of n against b of m), by a log-likelihood ratio of at least `least`."""
     part = lambda k, of, share: k * np.log(np.maximum(k / of, 1e-12) / np.maximum(share, 1e-12)) + (of - k) * np.log(np.maximum(1 - k / of, 1e-12) / np.maximum(1 - share, 1e-12))
     share = (a + b) / (n + m)
     return (2 * (part(a, n, share) + part(b, m, share)) >= least) & (a / n > b / m)
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.3, decay: float = 0.1, least: float = 11.0) -> Model:
-    """Full-batch Adagrad on the noisy-or likelihood over the telling features."""
+def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.3, decay: float = 0.1, least: float = 11.0, chunk: int = 250) -> Model:
+    """Full-batch Adagrad on the noisy-or likelihood over the telling features, which a first pass over the texts finds."""
     y = np.array(labels, dtype=np.float64)
     weights = np.zeros(1 << BITS)
     if not len(y) or y.min() == y.max():
         return Model(weights, -30.0)
-    data, off = byte_view(pa.array(texts, pa.string()))
-    f, sentence, rows = features(data[: off[-1]], off)
-    doc = rows[sentence]
-    seen = np.unique(np.concatenate([f[k] + (doc << BITS) for k in range(3)]))
-    known = telling(seen, y, least)
-    ids, inverse = np.unique(f.ravel(), return_inverse=True)
-    use = np.flatnonzero(known[ids[inverse]])
-    inverse, where = inverse[use], np.tile(sentence, 3)[use]
+
+    def parts() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(0, len(texts), chunk):
+            data, off = byte_view(pa.array(texts[i : i + chunk], pa.string()))
+            yield i, *features(data[: off[-1]], off)
+
+    a, b = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for i, f, sentence, rows in parts():
+        seen = np.unique((rows[sentence] << BITS) + f)
+        toxic = y[i + (seen >> BITS)]
+        a += np.bincount(seen & ((1 << BITS) - 1), toxic, 1 << BITS)
+        b += np.bincount(seen & ((1 << BITS) - 1), 1 - toxic, 1 << BITS)
+    known = telling(a, b, y.sum(), len(y) - y.sum(), least)
+    ids = np.flatnonzero(known)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    docs: list[np.ndarray] = []
+    total = 0
+    for i, f, sentence, rows in parts():  # only sentences with a telling feature matter
+        use = known[f]
+        some, own = np.unique(np.broadcast_to(sentence, f.shape)[use], return_inverse=True)
+        found.append((np.searchsorted(ids, f[use]), own + total))
+        docs.append(rows[some] + i)
+        total += len(some)
+    inverse, where = (np.concatenate(x) for x in zip(*found, strict=True))
+    rows = np.concatenate(docs)
     w, gain, bias, bias_gain = np.zeros(len(ids)), np.full(len(ids), 1e-8), -2.0, 1e-8
-    told = np.bincount(where, minlength=len(rows)) > 0
     for _ in range(rounds):
-        p = told * _sigmoid(np.bincount(where, w[inverse], len(rows)) + bias)
+        p = _sigmoid(np.bincount(where, w[inverse], len(rows)) + bias)
         miss = np.exp(np.bincount(rows, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
         blame = np.where(y[rows] > 0, -miss[rows] / np.maximum(1 - miss[rows], 1e-9), 1.0) * p / len(y)
         g = np.bincount(inverse, blame[where], len(ids)) + decay / len(y) * w
