@@ -33,6 +33,7 @@ class _Memo(dict):
         super().__init__()
         self.tokenizer, self.model, self.folds, self.capacity = tokenizer, tokenizer.model, folds, capacity
         self.marks: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -43,8 +44,13 @@ class _Memo(dict):
         return [t.id for t in self.model.tokenize(shown.lower() if self.folds and word.isascii() else shown if self.folds else "Ġ" + shown)]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.capacity:
+        if 2 * len(self) >= self.capacity:  # two generations: what is used meanwhile comes over
+            self.old = dict(self)
             self.clear()
+        out = self.old.get(piece)
+        if out is not None:
+            self[piece] = out
+            return out
         word = piece if piece.isalpha() else piece[:-1]
         if (word.isascii() or _LATIN.fullmatch(word)) and word.isalpha() and (word is piece or piece[-1] in _MARKS):
             if self.folds and not word.isascii():
@@ -69,7 +75,7 @@ class MemoEncoder:
 
     _made: dict[tuple[str, int], MemoEncoder] = {}
 
-    def __init__(self, path: str, capacity: int = 2_000_000):
+    def __init__(self, path: str, capacity: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,7 +86,7 @@ class MemoEncoder:
         self.memo = _Memo(self.tokenizer, self.folds, capacity)
 
     @classmethod
-    def of(cls, path: str, capacity: int = 2_000_000) -> MemoEncoder:
+    def of(cls, path: str, capacity: int = 1_000_000) -> MemoEncoder:
         """One encoder per path and process, so that its memo outlives a task."""
         key = path, capacity
         if key not in cls._made:
