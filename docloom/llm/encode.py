@@ -20,7 +20,8 @@ _OTHER = "\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + ""
 #: Python takes these for white space, the tokenizers library doesn't.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = frozenset(".,;:!?")
+#: A Latin word and ASCII punctuation behind it; the pre-tokenizers part the two.
+_TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 #: Byte-level alphabets show bytes that aren't printable as characters from 256 on.
 _SHOWN = {}
 for _b in range(256):
@@ -38,12 +39,15 @@ class _Memo(dict):
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def bpe(self, word: str) -> list[int]:
-        """Ids of a word of Latin letters."""
+    def bpe(self, word: str, lead: str) -> bytes:
+        """Ids of a word of Latin letters, behind a space or (lead empty) not."""
+        if self.folds:
+            word = word.lower()
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-        return [t.id for t in self.model.tokenize(shown.lower() if self.folds and word.isascii() else shown if self.folds else "Ġ" + shown)]
+        return array("H", [t.id for t in self.model.tokenize(lead + shown)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        """A piece behind a space; one that starts with NUL is a line end and what follows it."""
         if 2 * len(self) >= self.capacity:  # two generations: what is used meanwhile comes over
             self.old = dict(self)
             self.clear()
@@ -51,21 +55,24 @@ class _Memo(dict):
         if out is not None:
             self[piece] = out
             return out
-        word = piece if piece.isalpha() else piece[:-1]
-        if (word.isascii() or _LATIN.fullmatch(word)) and word.isalpha() and (word is piece or piece[-1] in _MARKS):
-            if self.folds and not word.isascii():
-                word = word.lower()
-            out = array("H", self.bpe(word)).tobytes()
-            if word is not piece and piece[-1] in _MARKS:
-                out += self.mark(piece[-1])
+        if piece[:1] == "\0" and not self.folds:
+            word, lead, space, start = piece[1:], "", "", self.mark("\n")
         else:
-            out = self.whole(piece if self.folds else " " + piece)
+            word, lead, space, start = piece, "" if self.folds else "Ġ", "" if self.folds else " ", b""
+        if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)):
+            out = start + self.bpe(word, lead)
+        elif m := _TAILED.fullmatch(word):
+            out = start + self.bpe(m[1], lead) + self.mark(m[2])
+        else:
+            out = start + self.whole(space + word)
         self[piece] = out
         return out
 
     def mark(self, mark: str) -> bytes:
         out = self.marks.get(mark)
         if out is None:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
             out = self.marks[mark] = self.whole(mark)
         return out
 
@@ -95,18 +102,26 @@ class MemoEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         get, whole, join, out = self.memo.__getitem__, self.memo.whole, b"".join, []
+        end = b"" if self.folds else self.memo.mark("\n")
         for t in texts:
             if self.folds:
                 out.append(whole(t) if _CONTROL.search(t) else join(map(get, t.split())))
             else:
-                p = t.split(" ")
-                if "" in p or "\n " in t or "\t " in t or "\r " in t or any(c in t for c in _OTHER):  # cuts at every space could split a run
+                keys: list[str] = []
+                plain = "\0" not in t and "\t" not in t and "\r" not in t and not any(c in t for c in _OTHER)
+                if plain:  # single spaces and line ends, none beside another
+                    for line in t.split("\n"):
+                        p = line.split(" ")
+                        if "" in p:
+                            plain = False
+                            break
+                        p[0] = "\0" + p[0]
+                        keys += p
+                if plain:
+                    out.append(join(map(get, keys))[len(end) :])
+                else:
                     p = [x[n > 0 :] for n, x in enumerate(_SPLIT.split(t))]
-                head = whole(p[0])
-                p[0] = ""
-                rest = map(get, p)
-                next(rest)
-                out.append(head + join(rest))
+                    out.append(whole(p[0]) + join(self.memo.whole(" " + x) if x[:1] == "\0" else get(x) for x in p[1:]))
         return out
 
 
