@@ -562,6 +562,7 @@ class Pipeline:
     # --- search
 
     def geo_near(self, near: Any, distance_field: str, key: str, query: Any = None, spherical: bool = True, min_distance: float | None = None, max_distance: float | None = None, distance_multiplier: float = 1.0, include_locs: str | None = None) -> Pipeline:
+        self._next("geoNear", self.df)
         df = self.df if query is None else self.df.where(compile_filter(self.df, query))
         with building(df):
             raw = haversine(column(key), near) if spherical else distance_of(column(key), near["coordinates"] if isinstance(near, dict) else near)
