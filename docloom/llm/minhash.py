@@ -196,5 +196,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stash(verify(pairs, docs, id_col, text_col, threshold, k), "links")
     roots = components(links).select(F.col("node").alias("id"), "root")
     classes = reps.select("c1", "c2", "id").join(roots, "id", "left").select("c1", "c2", F.coalesce("root", "id").alias("class"))
-    out = rows.join(classes, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.when(F.col("n") > 0, F.least("class", "id")).otherwise(F.col("id")).alias("class_id"))
+    out = rows.join(classes, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.least("class", "id")).otherwise(F.col("id")).alias("class_id"))
     return out.select(id_col, "class_id", F.col(id_col).eqNullSafe(F.col("class_id")).alias("kept"))

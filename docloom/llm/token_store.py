@@ -82,7 +82,7 @@ class Segment:
             width = RANK_BITS // 8
             window = bits.reshape(-1, width)[block]
             keep = np.unpackbits(window, axis=1, bitorder="little") if len(block) else np.zeros((0, RANK_BITS), np.uint8)
-            before = (keep * (np.arange(RANK_BITS) < (at % RANK_BITS)[:, None])).sum(axis=1)
+            before = (keep * (np.arange(RANK_BITS) < (at % RANK_BITS)[:, None])).sum(axis=1, dtype=np.int64)
             at = ranks[block].astype(np.int64) + before
         return out
 
