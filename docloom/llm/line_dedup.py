@@ -6,7 +6,8 @@ lines of all documents (a fixed number of hash buckets, so it has one size at an
 the work depends on it). Two sets with a Jaccard similarity of t share a word among the first n - ceil(t n) + 1 words of
 each (the prefix); a frequent word in the prefix is replaced by its combinations with the words after it in the prefix
 made longer by one for each, because two such sets share at least four words. Sets under the same key become candidates
-if their sizes and the key's places leave room for the overlap (length and positional filters); candidates are verified
+if their sizes and the key's places leave room for the overlap (length and positional filters) and 64
+parities of their words don't already differ too much; candidates are verified
 on the whole sets. Sets of fewer than 1 / (1 - t) - 1 words can only equal another and take no part. Words are told
 apart by 32-bit hashes and sets by 64-bit hashes.
 
@@ -133,7 +134,29 @@ def profile(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("id", "text").mapInArrow(each, "id long, line long, n long, c1 long, words binary")
 
 
-POSTING = np.dtype([("key", "<u8"), ("c1", "<u8"), ("n", "<u4"), ("left", "<u4")])
+#: n and left stop at the largest number of 16 bits, which only lets more candidates through.
+POSTING = np.dtype([("key", "<u4"), ("n", "<u2"), ("left", "<u2"), ("c1", "<u8"), ("bits", "<u8")])
+
+
+def parity(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 parities of each set: two sets differ in at least as many words as their parities differ in bits."""
+    out = np.zeros(len(offsets) - 1, dtype=U64)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        bit = U64(1) << (mix(words.astype(U64) + U64(9)) & U64(63))
+        out[some] = np.bitwise_xor.reduceat(bit, offsets[some])
+    return out
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def keyed(sets: DataFrame, counts: np.ndarray, t: float, buckets: int) -> DataFrame:
@@ -148,18 +171,19 @@ def keyed(sets: DataFrame, counts: np.ndarray, t: float, buckets: int) -> DataFr
 
         def out() -> pa.RecordBatch:
             rows = np.concatenate(held)
-            where = (mix(rows["key"]) % U64(buckets)).astype(np.int64)
+            where = (mix(rows["key"].astype(U64)) % U64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             rows, where = rows[order], where[order]
             cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
             ends = np.append(cut[1:], len(rows))
             return pa.record_batch([pa.array(where[cut], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "postings"])
 
-        for batch in batches:
-            n = np.asarray(batch.column(0))
-            c1 = np.asarray(batch.column(1)).view(U64)
+        for batch in _gathered(batches):
+            n = batch.column(0).to_numpy()
+            c1 = batch.column(1).to_numpy().view(U64)
             data, off = byte_view(batch.column(2))
             words, first = np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint32), (off[:-1] - off[0]) // 4
+            bits = parity(words, np.append(first, len(words)))
             for size_n in np.unique(n[n >= least]).tolist():
                 some = np.flatnonzero(n == size_n)
                 prefix = size_n - math.ceil(t * size_n - 1e-9) + 1
@@ -167,14 +191,15 @@ def keyed(sets: DataFrame, counts: np.ndarray, t: float, buckets: int) -> DataFr
                 hot = shared.value[(own >> U64(WORD_BITS - COUNT_BITS)).astype(np.int64)]
                 plain = ~hot[:, :prefix].any(axis=1)
                 rows = np.empty((int(plain.sum()), prefix), dtype=POSTING)
-                rows["key"] = own[plain, :prefix] + U64(1)
+                rows["key"] = ((own[plain, :prefix] + U64(1)) & U64(0xFFFFFFFF)).astype(np.uint32)
                 rows["c1"] = c1[some[plain]][:, None]
-                rows["n"], rows["left"] = size_n, size_n - np.arange(prefix)
+                rows["bits"] = bits[some[plain]][:, None]
+                rows["n"], rows["left"] = min(size_n, 65535), np.minimum(size_n - np.arange(prefix), 65535)
                 held.append(rows.reshape(-1))
                 size += held[-1].nbytes
                 for i in np.flatnonzero(~plain).tolist():
                     found = keys_of(own[i], hot[i], size_n, prefix)
-                    held.append(np.array([(k, int(c1[some[i]]), size_n, left) for k, left in found], dtype=POSTING))
+                    held.append(np.array([(k & 0xFFFFFFFF, min(size_n, 65535), min(left, 65535), int(c1[some[i]]), int(bits[some[i]])) for k, left in found], dtype=POSTING))
                     size += held[-1].nbytes
             if size > 16 << 20:
                 yield out()
@@ -197,6 +222,7 @@ def candidates(postings: DataFrame, t: float) -> DataFrame:
         rows = np.concatenate([np.frombuffer(x, POSTING) for x in group.column("postings").to_pylist()])
         order = np.lexsort((rows["n"], rows["key"]))
         key, c1, n, left = rows["key"][order], rows["c1"][order], rows["n"][order].astype(np.int64), rows["left"][order].astype(np.int64)
+        bits = rows["bits"][order]
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         ends = np.append(cut[1:], len(key))
         end_of = np.repeat(ends, ends - cut)
@@ -209,7 +235,8 @@ def candidates(postings: DataFrame, t: float) -> DataFrame:
             live = live[n[live] >= t * n[other] - 1e-9]
             other = live + step
             need = np.ceil(t / (1 + t) * (n[live] + n[other]) - 1e-9)
-            good = (np.minimum(left[live], left[other]) >= need) & (c1[live] != c1[other])
+            differ = np.bitwise_count(bits[live] ^ bits[other])
+            good = (np.minimum(left[live], left[other]) >= need) & (differ <= n[live] + n[other] - 2 * need) & (c1[live] != c1[other])
             x, y = c1[live[good]].view(np.int64), c1[other[good]].view(np.int64)
             out.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
             if len(out) > 200:
