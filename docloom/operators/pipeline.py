@@ -608,7 +608,7 @@ class Pipeline:
                 raise PipelineError("a scored branch needs a score")
             weight = float((weights or {}).get(name, 1.0))
             total += 1.0
-            own = own.withColumn("__part", _search.normalise(F.col(score), normalization, W.partitionBy(F.lit(1))) * weight).drop(*(c for c in own.columns if c.startswith("__meta_")))
+            own = _search.scaled(own, F.col(score), normalization, "__part").withColumn("__part", F.col("__part") * weight).drop(*(c for c in own.columns if c.startswith("__meta_")))
             parts = own if parts is None else parts.unionByName(own, allowMissingColumns=True)
         rest = [c for c in parts.columns if c not in (key, "__part")]
         out = parts.groupBy(key).agg(*(F.first(c, ignorenulls=True).alias(c) for c in rest), (F.sum("__part") / total).alias("__meta_score"))
@@ -617,7 +617,8 @@ class Pipeline:
     def score(self, score: Any, normalization: str = "none", weight: float = 1.0) -> Pipeline:
         with building(self.df):
             value = to_col(self._eval(score))
-        return self._next("score", self.df.withColumn("__meta_score", _search.normalise(value, normalization, W.partitionBy(F.lit(1))) * weight))
+        out = _search.scaled(self.df, value, normalization, "__meta_score")
+        return self._next("score", out.withColumn("__meta_score", F.col("__meta_score") * weight))
 
     # --- system
 

@@ -154,12 +154,15 @@ def rank_fusion(branches: dict[str, DataFrame], key: str, weights: dict[str, flo
     return out.orderBy(F.desc("__meta_score"), key)
 
 
-def normalise(score: Column, how: str | None, window: Any) -> Column:
+def scaled(df: DataFrame, score: Column, how: str | None, name: str) -> DataFrame:
+    """df with the normalised score; the least and largest come from one aggregated row, not from a window over all rows."""
     if how in (None, "none"):
-        return score.cast("double")
+        return df.withColumn(name, score.cast("double"))
     if how == "sigmoid":
-        return fn.sigmoid(score)
-    if how == "minMaxScaler":
-        low, high = F.min(score).over(window), F.max(score).over(window)
-        return F.coalesce((score - low) / F.nullif((high - low).cast("double"), F.lit(0.0)), F.lit(0.0))
-    raise ValueError(f"unknown normalization {how!r}")
+        return df.withColumn(name, fn.sigmoid(score))
+    if how != "minMaxScaler":
+        raise ValueError(f"unknown normalization {how!r}")
+    own = df.withColumn(name, score.cast("double"))
+    ends = own.agg(F.min(name).alias("__low"), F.max(name).alias("__high"))
+    share = (F.col(name) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+    return own.crossJoin(F.broadcast(ends)).withColumn(name, F.coalesce(share, F.lit(0.0))).drop("__low", "__high")  # one row
