@@ -7,9 +7,12 @@ that follows from the total weight, and again with twice the bound for the few d
 
 Texts with the same multiset collapse to one representative first. Signatures are cut into bands; representatives that
 share a band are candidates. In a band bucket of up to `all_pairs` members every pair is one; in a larger bucket each
-member is a candidate with the smallest member, of the bucket and of its parts that share further bands, so that no
-bucket's pairs are all emitted. Candidates are verified on the multisets of their whole texts; classes are the
-connected components of the verified links, named by their smallest id.
+member is a candidate with the smallest member, of the bucket and of its parts that share further bands. Candidates are
+verified on the multisets of their whole texts; classes are the connected components of the verified links, named by
+their smallest id. Larger buckets whose members are then in several classes are looked at again: first each member with
+the one that shares the most bands with others, then all members of such buckets by an exact prefix join: with shingles
+ordered by rarity, two texts at the threshold share one of their first n - threshold n + 1. So no pair that shares a
+band is left out: it is verified, or its sizes, its prefixes or the places there of their first common shingle rule it out, or it is in one class already.
 
 With 32 bands of 5 registers, a pair at the threshold 0.8 shares a band with a probability over 0.99999. Texts without
 words (null, empty) are classes of their own; texts of fewer words than a shingle are one shingle; rows with a null id get
@@ -141,8 +144,14 @@ def stars(keyed: DataFrame, over: int = 1) -> DataFrame:
     return keyed.join(tops, "key").select(F.col("top.id").alias("a"), F.col("top.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
 
 
-def candidates(reps: DataFrame, threshold: float, all_pairs: int) -> DataFrame:
-    """Pairs a < b of representatives that share a band and whose sizes allow the threshold."""
+def fitting(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b, each once, whose sizes allow the threshold."""
+    fits = F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn")
+    return pairs.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def candidates(reps: DataFrame, threshold: float, all_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of representatives that share a band and whose sizes allow the threshold; the members of larger buckets."""
     keyed = explode(reps)
     tops = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = stash(keyed.join(tops, "key"), "bands")
@@ -152,8 +161,66 @@ def candidates(reps: DataFrame, threshold: float, all_pairs: int) -> DataFrame:
     pairs = pairs.unionByName(stars(large.select("key", "id", "n")))
     members = reps.join(large.select("id").distinct(), "id", "left_semi")
     pairs = pairs.unionByName(stars(explode(members, 2, 3)))
-    fits = F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn")
-    return pairs.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return fitting(pairs, threshold), large
+
+
+def unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of the buckets that reach into several classes, with their classes in a column root."""
+    placed = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return placed.join(several.select("key"), "key", "left_semi")
+
+
+def centred(still: DataFrame) -> DataFrame:
+    """Candidates of each member with the one of its bucket that has the most company in all buckets, unless they are in one class."""
+    company = still.groupBy("id").agg(F.sum("m").alias("company"))
+    tops = still.join(company, "id").groupBy("key").agg(F.max(F.struct("company", "id", "n", "root")).alias("top"))
+    sides = still.join(tops, "key").where(F.col("top.root") != F.col("root"))
+    return sides.select(F.col("top.id").alias("a"), F.col("top.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
+
+
+def across(still: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that share a shingle of their prefixes, are in different classes and have enough shingles left from that one on."""
+    side = lambda x: still.select("key", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("at").alias(f"{x}at"), F.col("root").alias(f"{x}r"))
+    part = still.select("key", "root").distinct()  # by pairs of classes, so that pairs inside a class are never made
+    two = part.withColumnRenamed("root", "ar").join(part.withColumnRenamed("root", "br"), "key").where("ar < br")
+    enough = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) >= F.lit(threshold / (1 + threshold)) * (F.col("an") + F.col("bn")) - 1e-6
+    return two.join(side("a"), ["key", "ar"]).join(side("b"), ["key", "br"]).where(enough)
+
+
+def prefixes(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, k: int, bits: int = 22) -> DataFrame:
+    """Per member and shingle (each occurrence counts) of its prefix, rarest first: key, id, n, its place. Counts by `bits` bits of a hash set the order only."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).hint("merge").join(ids, "id").select("id", "text")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            data, off = byte_view(batch.column(1))
+            for i, j in blocks(off, 1 << 19):
+                s, c, o = multisets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                ends = np.cumsum(c)
+                nth = np.arange(c.sum()) - np.repeat(ends - c, c)
+                yield batch.column(0).slice(i, j - i), mix(np.repeat(s, c) + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), np.concatenate(([0], ends))[o]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, token, _ in tokens(batches):
+            slot, c = np.unique((token >> U64(64 - bits)).astype(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(slot), pa.array(c)], ["slot", "c"])
+
+    counted = texts.mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
+    common = np.ones(1 << bits, dtype=np.int32)
+    common[counted.column("slot").to_numpy()] = np.minimum(counted.column("c").to_numpy(), 2**31 - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, token, off in tokens(batches):
+            n = np.diff(off)
+            row = np.repeat(np.arange(len(n)), n)
+            token = token[np.lexsort((token, shared.value[token >> U64(64 - bits)], row))]
+            at = np.arange(len(token)) - off[row]
+            take = np.flatnonzero(at <= (n - np.ceil(threshold * n - 1e-6))[row])
+            yield pa.record_batch([pa.array(token[take].view(np.int64)), own.take(pa.array(row[take])), pa.array(n[row[take]]), pa.array(at[take])], ["key", "id", "n", "at"])
+
+    return texts.mapInArrow(each, "key long, id long, n long, at long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, k: int, chunk: int = 128) -> DataFrame:
@@ -192,9 +259,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stash(profile(docs, id_col, text_col, k), "profiles")
     known = rows.where("id is not null and n > 0")
     reps = stash(known.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("keys").alias("keys")), "reps")
-    pairs = stash(candidates(reps.select("id", "n", "keys"), threshold, all_pairs), "pairs")
+    pairs, large = candidates(reps.select("id", "n", "keys"), threshold, all_pairs)
+    pairs = stash(pairs, "pairs")
     links = stash(verify(pairs, docs, id_col, text_col, threshold, k), "links")
-    roots = components(links).select(F.col("node").alias("id"), "root")
+    roots = components(links)
+    for last in (False, True):
+        still = stash(unsettled(large, roots), "still")
+        if still.isEmpty():
+            break
+        if last:
+            close = stash(prefixes(still.select("id").distinct(), docs, id_col, text_col, threshold, k), "prefixes")
+            found = across(stash(unsettled(close, roots), "still"), threshold)
+        else:
+            found = centred(still)
+        more = stash(fitting(found, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(stash(verify(more, docs, id_col, text_col, threshold, k), "links"))
+        pairs, roots = pairs.unionByName(more), components(links)
+    roots = roots.select(F.col("node").alias("id"), "root")
     classes = reps.select("c1", "c2", "id").join(roots, "id", "left").select("c1", "c2", F.coalesce("root", "id").alias("class"))
     out = rows.join(classes, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.least("class", "id")).otherwise(F.col("id")).alias("class_id"))
     return out.select(id_col, "class_id", F.col(id_col).eqNullSafe(F.col("class_id")).alias("kept"))

@@ -134,6 +134,22 @@ def test_near_duplicates(docs, nothing, spark):
     assert sorted(((r.doc_id, r.class_id) for r in minhash.near_duplicates(null).collect()), key=str) == [(1, 1), (None, None)]
 
 
+def test_near_duplicates_around_a_base_that_is_not_the_smallest(spark):
+    """Copies with three edits each: 0.86 to the base, about 0.74 to each other; only the base ties them together."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(150, " ".join(base))]
+    for i in range(301):
+        if i != 150:
+            words = list(base)
+            for at in rng.sample(range(5, 195), 3):
+                words[at] = f"e{i}x{at}"
+            rows.append((i, " ".join(words)))
+    got = {d: c for d, (c,) in by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "class_id").items()}
+    assert got == brute.near_classes(rows)
+    assert list(got.values()).count(0) > 290
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(5)
     s = rng.integers(0, 2**40, 300).astype(np.uint64)
