@@ -532,6 +532,15 @@ def graph_lookup(s, d):
     return p.project(lambda f: {"_id": 0, "k": f["_id"], "n": fn.size(f.up).cast("bigint"), "deepest": F.array_max(f["up.depth"])}).df
 
 
+@query("""with recursive g as (select c_custkey k, c_custkey // 3 up, 0 depth from customer union all select k, up // 3, depth + 1 from g join customer on c_custkey = up where up > 0)
+ select k, count(*) n, max(depth)::bigint deepest from g where up > 0 and up in (select c_custkey from customer) group by 1""")
+def graph_lookup_all(s, d):
+    edges = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("_id"), F.floor(F.col("c_custkey") / 3).cast("bigint").alias("boss"))
+    p = Pipeline(edges).graph_lookup(edges.where("_id > 0"), lambda f: f.boss, "boss", "_id", "up", depth_field="depth")
+    p = p.match(lambda f: fn.gt(fn.size(f.up), 0))
+    return p.project(lambda f: {"_id": 0, "k": f["_id"], "n": fn.size(f.up).cast("bigint"), "deepest": F.array_max(f["up.depth"])}).df
+
+
 @query("select r_regionkey k, r_name name, -1 up from region union all select n_nationkey, n_name, n_regionkey from nation")
 def union_with(s, d):
     p = _t(s, d, "region").project(lambda f: {"k": f.r_regionkey, "name": f.r_name})

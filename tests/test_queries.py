@@ -40,6 +40,11 @@ def test_query(spark, duck, name):
     assert rows(df.columns, got) == rows(found.columns, found.fetchall())
 
 
+def test_graph_lookup_all_starts_from_every_customer(spark, duck):
+    got = {r.k for r in core.queries()["graph_lookup_all"](spark, SF).collect()}
+    assert got == {k for (k,) in duck.sql("select c_custkey from customer where c_custkey >= 3").fetchall()}
+
+
 def test_stream_watch(spark):
     out = core.queries()["stream_watch"](spark, SF)
     assert {r.updated for r in out.collect()} == {"o_orderstatus"}
