@@ -5,7 +5,8 @@ notices, adverts and comments are pruned by tag, role, class or id. For every no
 per tag, weighted down by its share of link characters and link tags; a node's density sum adds those of its children.
 The node with the largest sum is the centre; the least density on the path from it to the body is the threshold, and
 the centre grows to an ancestor below the body as long as a sibling on the way reaches the threshold. An `article` or
-`main` element around the centre is taken whole. The text of that subtree is split at block elements; white space inside
+`main` element around the centre is taken whole. Other elements right below the body are main text too where their density
+reaches the threshold. The text of these subtrees is split at block elements; white space inside
 a block becomes one space, empty blocks go, blocks are joined by one line end.
 
 Null and empty html give an empty text; pages cut off anywhere are closed at their end; text without any element is its
@@ -178,12 +179,10 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def centre(order: list[Node]) -> Node:
+def centres(order: list[Node]) -> list[Node]:
+    """The main subtrees in order of the page: one, or several right below the body."""
     body = next((x for x in order if x.tag == "body"), order[0])
-    inside = order
-    if body is not order[0] and any(x.tag == "article" or x.tag == "main" for x in order):
-        inside = [x for x in order if x.tag in ("article", "main") or any(a.tag in ("article", "main") for a in _above(x))]
-    best = max(inside, key=lambda x: x.total)
+    best = max(order, key=lambda x: x.total)
     path = [best, *(a for a in _above(best))]
     if body in path:
         path = path[: path.index(body) + 1]
@@ -196,7 +195,11 @@ def centre(order: list[Node]) -> Node:
     for a in [best, *_above(best)]:
         if a.tag in ("article", "main"):
             best = a
-    return best
+    above = list(_above(best))
+    if body not in above:  # the body itself is the centre: whole
+        return [best]
+    own = [best, *above][above.index(body)]
+    return [best if c is own else c for c in body.children if isinstance(c, Node) and not c.pruned and (c is own or c.chars and c.density >= least)]
 
 
 def text_of(node: Node) -> str:
@@ -234,7 +237,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     prune(root)
-    return text_of(centre(measure(root)))
+    return "\n".join(t for t in map(text_of, centres(measure(root))) if t)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -204,6 +204,13 @@ def test_pages(spark):
     assert html_text.main_text(deep) == "words in the deep"
 
 
+def test_pages_with_a_teaser_article_and_with_parts_below_the_body():
+    story = " ".join(f"Sentence {i} of a long story that goes on and on." for i in range(40))
+    assert html_text.main_text(f"<body><div id=story><p>{story}</p></div><article class=teaser><p><a href=x>Short teaser</a></p></article></body>").split("\n")[0] == story
+    parts = [f"Part {k} " + story for k in (1, 2)]
+    assert html_text.main_text("<body>" + "".join(f"<div>{x}</div>" for x in parts) + "</body>") == "\n".join(parts)
+
+
 def test_languages(spark):
     rng = random.Random(2)
     words = {"aa": ["the", "and", "house", "water", "running"], "bb": ["le", "maison", "eau", "courir", "été"]}
