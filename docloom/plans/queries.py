@@ -464,6 +464,17 @@ def densify_days(s, d):
     return _days(s, d).densify("d", 1, "day", "partition", ["event_type"]).fill({"total": {"value": -1.0}}).df
 
 
+_HOURS = "(select event_type, date_trunc('hour', ts) d, round(sum(value), 2) total from events group by all)"
+
+
+@query(f"""with h as {_HOURS}, t as (select event_type, min(d) a, max(d) b from h group by 1), r as (select event_type, unnest(generate_series(a, b, interval 1 hour)) d from t)
+ select r.event_type, r.d, coalesce(h.total, -1) total from r left join h on h.event_type = r.event_type and h.d = r.d""")
+def densify_hours(s, d):
+    p = _t(s, d, "events").group(lambda f: {"_id": {"t": f.event_type, "hour": fn.date_trunc(f.ts, "hour")}, "total": fn.sum(f.value)})
+    p = p.project(lambda f: {"_id": 0, "event_type": f["_id.t"], "d": f["_id.hour"], "total": _r(f.total, 2)})
+    return p.densify("d", 1, "hour", "partition", ["event_type"]).fill({"total": {"value": -1.0}}).df
+
+
 @query("select distinct k from (select p_size k from part where p_size % 5 = 0 union all select unnest(range(2, 30, 3)))")
 def densify_number(s, d):
     p = _t(s, d, "part").match({"p_size": {"$mod": [5, 0]}}).project(lambda f: {"k": f.p_size.cast("bigint")})

@@ -45,6 +45,12 @@ def test_graph_lookup_all_starts_from_every_customer(spark, duck):
     assert got == {k for (k,) in duck.sql("select c_custkey from customer where c_custkey >= 3").fetchall()}
 
 
+def test_densify_hours_covers_every_event_and_has_gaps(spark, duck):
+    got = {(r.event_type, r.d): r.total for r in core.queries()["densify_hours"](spark, SF).collect()}
+    found = set(duck.sql("select distinct event_type, date_trunc('hour', ts) from events").fetchall())
+    assert len(found) == sum(v != -1 for v in got.values()) < len(got)
+
+
 def test_stream_watch(spark):
     out = core.queries()["stream_watch"](spark, SF)
     assert {r.updated for r in out.collect()} == {"o_orderstatus"}
