@@ -82,12 +82,18 @@ def _part_column(parts: int) -> F.Column:
     return F.pmod(u.bitwiseXOR(F.shiftrightunsigned(u, 16)).bitwiseXOR(F.shiftrightunsigned(u, 32)), F.lit(parts)).cast("int")
 
 
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal values; nothing for no values."""
+    if len(sorted_values):
+        cut = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))).tolist()
+        yield from zip(cut, [*cut[1:], len(sorted_values)], strict=True)
+
+
 def _dealt(where: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """Columns as bytes by the values of where."""
     order = np.argsort(where, kind="stable")
     where, columns = where[order], [c[order] for c in columns]
-    cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else np.zeros(0, np.int64)
-    for a, b in zip(cut, np.append(cut[1:], len(where)), strict=True):
+    for a, b in _runs(where):
         yield int(where[a]), [c[a:b].tobytes() for c in columns]
 
 
@@ -205,13 +211,13 @@ def _asked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         own = _own(np.frombuffer(i8, np.int64), np.frombuffer(k8, U64))
         owns.append(own)
         masks.append(np.full(len(own), 0xFFFFFFFFFFFFFFFF, U64) if m8 is None else np.frombuffer(m8, U64))
-    if not owns:
-        return np.zeros(0, U64), np.zeros(0, U64)
-    own, mask = np.concatenate(owns), np.concatenate(masks)
+    own, mask = (np.concatenate([np.zeros(0, U64), *x]) for x in (owns, masks))
+    if not len(own):
+        return own, mask
     order = np.argsort(own, kind="stable")
     own, mask = own[order], mask[order]
     cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    return own[cut], np.bitwise_or.reduceat(mask, cut) if len(cut) else mask
+    return own[cut], np.bitwise_or.reduceat(mask, cut)
 
 
 CONTEXTS = "bucket int, ids binary, keys binary, counts binary, bytes binary"
@@ -241,8 +247,7 @@ def contexts(dealt: DataFrame, asks: DataFrame, window: int, k: int, buckets: in
             bucket, ids, key, counts = (np.concatenate([h[c] for h in held]) for c in range(4))
             texts = np.array([t for h in held for t in h[4]], dtype=object)
             order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1]))) if len(order) else order
-            for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+            for a, b in _runs(bucket[order]):
                 some = order[a:b]
                 for col, v in zip(out, (int(bucket[some[0]]), ids[some].tobytes(), key[some].tobytes(), counts[some].astype(np.uint8).tobytes(), b"".join(texts[some])), strict=True):
                     col.append(v)

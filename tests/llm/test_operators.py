@@ -75,6 +75,26 @@ def test_substrings(docs, nothing):
     assert substring_dedup.substring_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 40])
+def test_substrings_of_unlike_texts(spark, n):
+    """No context repeats in any batch."""
+    rng = random.Random(n)
+    rows = [(i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(60))) for i in range(n)]
+    got = by_id(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.repeats(rows) and not any(v[1] for v in got.values())
+
+
+def test_substrings_of_null_and_repeated_ids(spark):
+    """Null ids are smallest and one document, as are rows of one id; a text over one block of 262,144 bytes repeats an earlier one."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    a, b, long = say(20), say(20), say(30_000)
+    rows = [(None, a), (None, a), (1, "x " + a), (2, b), (2, b + "."), (3, "y " + b), (4, long), (5, "z" + long)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    gone = {1: len(a), 3: len(b), 5: len(long)}
+    assert got == sorted((str(d), len(t), gone.get(d, 0), int(d in gone)) for d, t in rows)
+
+
 def test_suffix_levels():
     family, seen = substring_dedup.LevelFamily(), {}
     rng = random.Random(3)
