@@ -107,10 +107,28 @@ def test_suffix_levels():
     assert len(family.levels) < 8
 
 
-def test_lines(docs, nothing):
-    got = by_id(line_dedup.line_dedup(docs), "n_lines", "n_removed", "n_links")
-    assert got == brute.similar_lines(ROWS)
-    assert line_dedup.line_dedup(nothing).count() == 0
+@pytest.mark.parametrize("options", [{}, {"frequent": 2}, {"frequent": 20, "tile": 4}, {"threshold": 0.5, "frequent": 3}])
+def test_lines(docs, nothing, options):
+    got = by_id(line_dedup.line_dedup(docs, **options), "n_lines", "n_removed", "n_links")
+    assert got == brute.similar_lines(ROWS, options.get("threshold", 0.8))
+    assert line_dedup.line_dedup(nothing, **options).count() == 0
+
+
+def test_links_of_lines(docs):
+    """Each link once, and as many as the classes count."""
+    _, classes, links = line_dedup.similar_lines(docs, frequent=20, tile=4)
+    rows = [tuple(r) for r in links.collect()]
+    assert len({frozenset((r[:2], r[2:])) for r in rows}) == len(rows) > 20
+    assert sum(r.links for r in classes.collect()) == 2 * len(rows)
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    """Null ids come first; rows of one id are one document; a line of over 65,535 words is compared whole."""
+    long = [f"q{i}" for i in range(70_000)]
+    near = " ".join([*long[:69_999], "other"])
+    rows = [(None, "a b c d e\nf g h i j"), (None, "k l m n o"), (1, "k l m n o x"), (1, "e d c b a"), (1, "p q r s t u v w"), (2, "p q r s t u v z"), (3, " ".join(long)), (4, near), (5, " ".join(long[:40_000]))]
+    got = sorted((str(r.doc_id), r.n_lines, r.n_removed, r.n_links) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == [("1", 3, 2, 1), ("2", 1, 0, 0), ("3", 1, 0, 1), ("4", 1, 1, 1), ("5", 1, 0, 0), ("None", 3, 0, 1)]
 
 
 def test_decontamination(docs, nothing, spark):
