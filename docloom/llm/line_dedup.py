@@ -8,8 +8,9 @@ the work depends on it).
 1. Postings. Two sets with a Jaccard similarity of t share a word among the first n - ceil(t n) + 1 words of each (the
    prefix), so each set is listed under the words of its prefix. A frequent word is replaced by its combinations with
    the two words that may follow it, the prefix being longer by one for each, because two such sets share three words.
+   A word that occurs once in all lines is in one set only and lists nothing.
 2. Candidates. Sets under one key are paired if their sizes and the key's places leave room for the overlap (length and
-   positional filters) and 64 parities of their words don't differ too much. Keys with many sets are cut into tiles of
+   positional filters) and 32 parities of their words don't differ too much. Keys with many sets are cut into tiles of
    pairs, dealt over tasks. Pairs stay packed in units of a few thousand sets.
 3. Verification. Each unit gets the words of its sets once, and counts the shared words of its pairs. A pair that was met
    under several keys counts only under the first word (or words) that the two share, so no pair is made distinct later.
@@ -136,16 +137,16 @@ def profile(docs: DataFrame, ranks) -> DataFrame:
 
 
 def parity(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64 parities of each set: two sets differ in at least as many words as their parities differ in bits."""
-    out = np.zeros(len(offsets) - 1, dtype=U64)
+    """32 parities of each set: two sets differ in at least as many words as their parities differ in bits."""
+    out = np.zeros(len(offsets) - 1, dtype=np.uint32)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        out[some] = np.bitwise_xor.reduceat(U64(1) << (mix(words + U64(9)) & U64(63)), offsets[some])
+        out[some] = np.bitwise_xor.reduceat(np.uint32(1) << (mix(words + U64(9)) & U64(31)).astype(np.uint32), offsets[some])
     return out
 
 
 #: n and left stop at the largest number of 16 bits, which only lets more candidates through.
-POSTING = np.dtype([("key", "<u4"), ("n", "<u2"), ("left", "<u2"), ("c1", "<i8"), ("c2", "<i4"), ("bits", "<u8")])
+POSTING = np.dtype([("key", "<u4"), ("n", "<u2"), ("left", "<u2"), ("c1", "<i8"), ("c2", "<i4"), ("bits", "<u4")])
 ONE, THREE = U64(1), U64(3)
 
 
@@ -217,13 +218,40 @@ def keyed(docs: DataFrame, ranks, plan: Plan, buckets: int, remember: int = 200_
                 for name, x in (("c1", c1), ("c2", c2), ("bits", bits)):
                     out[name] = x[some[rows]][:, None]
                 out["n"], out["left"] = min(size, 65535), np.minimum(size - place, 65535)
-                yield out.reshape(-1), (key % U64(buckets)).astype(np.int64).reshape(-1)
+                shared = np.ones(key.shape, dtype=bool)
+                shared[:, :first] = rank_of[_slot(own[rows, :first])] > STEPS
+                yield out[shared], (key[shared] % U64(buckets)).astype(np.int64)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Words, sizes and hashes of the sets that are new to the task, about a million words at a time."""
+        seen: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            data, off = byte_view(batch.column(0))
+            for i, j in blocks(off):
+                words, o, _, _ = line_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], ranks.value)
+                c1, c2 = set_hashes(words, o)
+                fresh = np.zeros(len(c1), dtype=bool)
+                for x, name in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
+                    if name not in seen:
+                        seen.add(name)
+                        fresh[x] = True
+                if len(seen) > remember:
+                    seen.clear()
+                n = np.diff(o)
+                held.append((words[np.repeat(fresh, n)], n[fresh], c1[fresh], c2[fresh]))
+                size += len(held[-1][0])
+                if size > 1 << 20:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held, size = [], 0
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = ranks.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        seen: set[tuple[int, int]] = set()
 
         def out() -> pa.RecordBatch:
             rows, where = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -233,27 +261,13 @@ def keyed(docs: DataFrame, ranks, plan: Plan, buckets: int, remember: int = 200_
             ends = np.append(cut[1:], len(rows))
             return pa.record_batch([pa.array(where[cut], pa.int64()), pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "postings"])
 
-        for batch in batches:
-            data, off = byte_view(batch.column(0))
-            for i, j in blocks(off, 1 << 21):
-                words, o, _, _ = line_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], rank_of)
-                c1, c2 = set_hashes(words, o)
-                fresh = np.zeros(len(c1), dtype=bool)
-                for x, name in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
-                    if name not in seen:
-                        seen.add(name)
-                        fresh[x] = True
-                if len(seen) > remember:
-                    seen.clear()
-                n = np.where(fresh, np.diff(o), 0)
-                take = np.repeat(fresh, np.diff(o))
-                o = np.concatenate(([0], np.cumsum(n)))
-                for rows, where in postings(words[take], o, c1, c2, rank_of):
-                    held.append((rows, where))
-                    size += rows.nbytes
-                if size > 16 << 20:
-                    yield out()
-                    held, size = [], 0
+        for words, n, c1, c2 in sets(batches):
+            for rows, where in postings(words, np.concatenate(([0], np.cumsum(n))), c1, c2, rank_of):
+                held.append((rows, where))
+                size += rows.nbytes
+            if size > 16 << 20:
+                yield out()
+                held, size = [], 0
         if size:
             yield out()
 
@@ -261,8 +275,21 @@ def keyed(docs: DataFrame, ranks, plan: Plan, buckets: int, remember: int = 200_
 
 
 UNITS = "gid long, c1 long, c2 int, at int, pairs binary, tile binary"
-#: Members of a unit by place, and the key under which they met.
-PAIR = np.dtype([("a", "<u4"), ("b", "<u4"), ("key", "<u4")])
+
+
+def pack_pairs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> bytes:
+    """Places of members and the keys under which they met, rows of one key behind each other."""
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    kind = np.uint16 if max(a.max(), b.max()) < 1 << 16 else np.uint32
+    head = np.array([len(cut), len(a), np.dtype(kind).itemsize], np.int64)
+    return b"".join(x.tobytes() for x in (head, key[cut], np.diff(np.append(cut, len(key))).astype(np.uint32), a.astype(kind), b.astype(kind)))
+
+
+def unpack_pairs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lists, n, width = np.frombuffer(raw, np.int64, 3).tolist()
+    key, counts = np.frombuffer(raw, np.uint32, 2 * lists, 24).reshape(2, -1)
+    a, b = np.frombuffer(raw, f"<u{width}", 2 * n, 24 + 8 * lists).astype(np.int64).reshape(2, -1)
+    return a, b, np.repeat(key, counts)
 
 
 def _fitting(plan: Plan, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -280,10 +307,8 @@ def _unit(gid: int, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
     names["c1"], names["c2"] = rows["c1"][at], rows["c2"][at]
     names, again = np.unique(names, return_inverse=True)  # a set is listed under several keys
     back = again.reshape(-1)[back]
-    pairs = np.empty(len(a), dtype=PAIR)
-    pairs["a"], pairs["b"], pairs["key"] = back[: len(a)], back[len(a) :], rows["key"][a]
-    n = len(names)
-    return pa.table({"gid": pa.array(np.full(n, gid)), "c1": pa.array(np.ascontiguousarray(names["c1"])), "c2": pa.array(np.ascontiguousarray(names["c2"])), "at": pa.array(np.arange(n, dtype=np.int32)), "pairs": pa.array([pairs.tobytes()] + [None] * (n - 1), pa.binary()), "tile": pa.nulls(n, pa.binary())})
+    raw, n = pack_pairs(back[: len(a)], back[len(a) :], rows["key"][a]), len(names)
+    return pa.table({"gid": pa.array(np.full(n, gid)), "c1": pa.array(np.ascontiguousarray(names["c1"])), "c2": pa.array(np.ascontiguousarray(names["c2"])), "at": pa.array(np.arange(n, dtype=np.int32)), "pairs": pa.array([raw] + [None] * (n - 1), pa.binary()), "tile": pa.nulls(n, pa.binary())})
 
 
 _NO_UNIT = pa.table({"gid": pa.array([], pa.int64()), "c1": pa.array([], pa.int64()), "c2": pa.array([], pa.int32()), "at": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary()), "tile": pa.array([], pa.binary())})
@@ -383,16 +408,17 @@ def asked_words(units: DataFrame, sets: DataFrame, docs: DataFrame, ranks) -> Da
 def _links(group: pa.Table, plan: Plan, rank_of: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the members of the unit's links, each link once among all units."""
     words, o = np.frombuffer(b"".join(group.column("words").to_pylist()), U64), np.concatenate(([0], np.cumsum([len(w) // 8 for w in group.column("words").to_pylist()])))
-    pairs = np.frombuffer(next(p for p in group.column("pairs").to_pylist() if p is not None), PAIR)
+    left, right, met = unpack_pairs(next(p for p in group.column("pairs").to_pylist() if p is not None))
     bucket = group.column("gid")[0].as_py() >> 32
-    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    order = np.argsort(left, kind="stable")
+    left, right, met = left[order], right[order], met[order]
     n = np.diff(o)
     _, local = np.unique(words, return_inverse=True)
     where = np.full(len(words), -1, dtype=np.int64)  # place of a word in the set at hand
-    cut = np.flatnonzero(np.concatenate(([True], pairs["a"][1:] != pairs["a"][:-1])))
+    cut = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
     found: list[np.ndarray] = []
-    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(pairs)], strict=True):
-        x, y = int(pairs["a"][lo]), pairs["b"][lo:hi].astype(np.int64)
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(left)], strict=True):
+        x, y = int(left[lo]), right[lo:hi]
         mine = local[o[x] : o[x + 1]]
         where[mine] = np.arange(len(mine))
         ends = np.cumsum(n[y])
@@ -409,7 +435,7 @@ def _links(group: pa.Table, plan: Plan, rank_of: np.ndarray, buckets: int) -> tu
             hot = rank_of[_slot(own[common[begin]])] > plan.hot_rank
             if hot.any():
                 key = np.where(hot, joint_key([own[common[begin + level]] for level in range(plan.depth)]), key)
-            once = (key >> U64(32) == pairs["key"][lo:hi][link]) & (key % U64(buckets) == U64(bucket))
+            once = (key >> U64(32) == met[lo:hi][link]) & (key % U64(buckets) == U64(bucket))
             found.append(np.stack((np.full(int(once.sum()), x), y[link][once])))
     return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
 
@@ -452,8 +478,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("id", "line")
     sets = stash(lines.where("n > 0").groupBy("c1", "c2").agg(F.min(place).alias("first"), F.min(F.struct("id", "line", "rid")).alias("source")), "sets")
     found = stash(candidates(keyed(source, ranks, plan, buckets), plan, tile), "units")
-    units = found.where("tile is null").unionByName(tiled(found.where("tile is not null"), plan))
-    units = stash(units, "units")
+    units = found.where("tile is null").unionByName(stash(tiled(found.where("tile is not null"), plan), "tiled"))
     words = stash(asked_words(units, sets, source, ranks), "words")
     sums, links = verified(units, words, plan, ranks, buckets)
     earliest = sums.groupBy("c1", "c2").agg(F.sum("links").alias("links"), F.min("other").alias("other"))
