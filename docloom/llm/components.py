@@ -33,3 +33,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(u.alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """components() of the edges behind roots, a result of it, and of edges (a, b): only the classes that these tie together are looked at."""
+    ends = [F.coalesce(F.col(f"r{x}"), F.col(x)).alias(x) for x in ("a", "b")]
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    moved = stash(components(edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(*ends)), "moved")
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stash(old.unionByName(moved.join(roots.select("node"), "node", "left_anti")), "roots")

@@ -15,9 +15,10 @@ ordered by rarity, two texts at the threshold share one of their first n - thres
 band is left out: it is verified, or its sizes, its prefixes or the places there of their first common shingle rule it out, or it is in one class already.
 
 With 32 bands of 5 registers, a pair at the threshold 0.8 shares a band with a probability over 0.99999. Texts without
-words (null, empty) are classes of their own; texts of fewer words than a shingle are one shingle; rows with a null id get
-a null class; rows that repeat an id are placed each by its own text; an empty table gives an empty result; other
-columns are ignored.
+words (null, empty) are classes of their own; texts of fewer words than a shingle are one shingle. Rows are told apart by
+a number that is written once, so rows that repeat an id, or have none, are placed each by its own text; null ids come
+last in a class and name it only where all its ids are null. One row of each class is kept, also of equal rows. An empty
+table gives an empty result; other columns are ignored, but for those named in `also`.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, blocks, byte_view, mix, running, shingles, stash, word_hashes
-from .components import components
+from .components import components, extended
 
 BANDS, ROWS = 32, 5
 
@@ -79,7 +81,7 @@ def signatures(shingle: np.ndarray, counts: np.ndarray, offsets: np.ndarray, reg
         time, step = np.zeros(len(at)), 0
         while len(at):
             step += 1
-            h = mix(base[at] + U64(step) * U64(0xD1B54A32D192ED03))
+            h = mix(base[at] + U64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1))
             time = time - np.log(((h >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / span[at]
             live = time <= bound[rows[at]] * registers
             at, time, h = at[live], time[live], h[live]
@@ -102,10 +104,12 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Per row: id, n (shingles), c1, c2 (hash of the multiset), keys (band keys, packed)."""
+def profile(source: DataFrame, k: int) -> DataFrame:
+    """source: id, text and others. In place of the text: row (unique once written), n (shingles), c1, c2 (hash of the multiset), keys (band keys, packed)."""
+    rest = [f for f in source.schema.fields if f.name not in ("id", "text")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, off = byte_view(batch.column(1))
             for i, j in blocks(off, 1 << 19):
@@ -116,10 +120,13 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 sums = [x[o[1:]] - x[o[:-1]] for x in (at, also)]
                 raw = bands(signatures(s, c, o)).tobytes()
                 keys = [raw[x : x + 8 * BANDS] for x in range(0, len(raw), 8 * BANDS)]
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(keys, pa.binary())], ["id", "n", "c1", "c2", "keys"])
+                own = [pa.array(np.arange(row, row + j - i)), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(keys, pa.binary())]
+                row += j - i
+                others = [batch.column(f.name).slice(i, j - i) for f in rest]
+                yield pa.record_batch([batch.column(0).slice(i, j - i), *others, *own], ["id", *(f.name for f in rest), "row", "n", "c1", "c2", "keys"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(each, "id long, n long, c1 long, c2 long, keys binary")
+    names = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return source.select("id", "text", *(f.name for f in rest)).mapInArrow(each, f"id long{names}, row long, n long, c1 long, c2 long, keys binary")
 
 
 def explode(reps: DataFrame, together: int = 1, reach: int = 1) -> DataFrame:
@@ -145,9 +152,9 @@ def stars(keyed: DataFrame, over: int = 1) -> DataFrame:
 
 
 def fitting(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b, each once, whose sizes allow the threshold."""
+    """Pairs a < b, each once, whose sizes allow the threshold, with their shingles together."""
     fits = F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn")
-    return pairs.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("an") + F.col("bn")).alias("n")).distinct()
 
 
 def candidates(reps: DataFrame, threshold: float, all_pairs: int) -> tuple[DataFrame, DataFrame]:
@@ -188,9 +195,17 @@ def across(still: DataFrame, threshold: float) -> DataFrame:
     return two.join(side("a"), ["key", "ar"]).join(side("b"), ["key", "br"]).where(enough)
 
 
-def prefixes(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, k: int, bits: int = 22) -> DataFrame:
-    """Per member and shingle (each occurrence counts) of its prefix, rarest first: key, id, n, its place. Counts by `bits` bits of a hash set the order only."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).hint("merge").join(ids, "id").select("id", "text")
+def texts_of(source: DataFrame, asked: DataFrame, *more: str) -> DataFrame:
+    """asked: own, h (of representatives), id and more. The same with their texts, of source (id, h, text).
+
+    asked is written first, so that the planner knows its size: a small one is broadcast, and the texts stay where they are.
+    """
+    own = F.coalesce(F.col("id"), F.lit(-1 << 63)).alias("own")
+    return source.select(own, "h", "text").join(stash(asked, "asked"), ["own", "h"]).select("id", "text", *more)
+
+
+def prefixes(texts: DataFrame, threshold: float, k: int, bits: int = 22) -> DataFrame:
+    """Per member (id, text) and shingle (each occurrence counts) of its prefix, rarest first: key, id, n, its place. Counts by `bits` bits of a hash set the order only."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -209,7 +224,7 @@ def prefixes(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
     counted = texts.mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
     common = np.ones(1 << bits, dtype=np.int32)
     common[counted.column("slot").to_numpy()] = np.minimum(counted.column("c").to_numpy(), 2**31 - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, token, off in tokens(batches):
@@ -223,16 +238,17 @@ def prefixes(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
     return texts.mapInArrow(each, "key long, id long, n long, at long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, k: int, chunk: int = 128) -> DataFrame:
-    """The pairs whose whole texts have a multiset Jaccard similarity of at least the threshold.
+def verify(pairs: DataFrame, source: DataFrame, places: DataFrame, threshold: float, k: int, chunk: int = 128, weight: int = 500_000) -> DataFrame:
+    """The pairs whose whole texts have a multiset Jaccard similarity of at least the threshold. places: id, own, h of the texts in source.
 
-    Pairs are grouped by their first member, at most about `chunk` to a group: a member with more is dealt out over several.
+    Pairs are grouped by their first member, at most about `chunk` pairs or `weight` shingles to a group: a member with
+    more is dealt out over several.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("n") / weight)).alias("parts")
+    dealt = pairs.join(pairs.groupBy("a").agg(parts), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     sides = dealt.select("a", "part", F.col("b").alias("id")).unionByName(dealt.select("a", "part", F.col("a").alias("id")).distinct())
-    rows = texts.hint("merge").join(sides, "id").select("a", "part", "id", "text")  # one plan at every size
+    rows = texts_of(source, sides.join(places, "id"), "a", "part")
+    rows = rows.repartition("a", "part").dropDuplicates(["a", "part", "id"])  # rows equal in id and text are one
 
     def check(group: pa.Table) -> pa.Table:
         a = group.column("a")[0].as_py()
@@ -254,28 +270,41 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
     return rows.groupBy("a", "part").applyInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5, all_pairs: int = 12) -> DataFrame:
-    """One row per row of docs: id, class_id (the smallest id of its class), kept (it names the class)."""
-    rows = stash(profile(docs, id_col, text_col, k), "profiles")
-    known = rows.where("id is not null and n > 0")
-    reps = stash(known.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("keys").alias("keys")), "reps")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5, all_pairs: int = 12, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id, class_id (the smallest id of its class), kept (for one row of each class), and the columns in `also`."""
+    text, carried = F.col(text_col).cast("string"), [F.col(c).alias(f"also_{n}") for n, c in enumerate(also)]
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), *carried)
+    rows = stash(profile(source, k), "profiles")
+    known = rows.where("n > 0")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "h")
+    reps = known.groupBy("c1", "c2").agg(F.min(order).alias("own"), F.max("n").alias("n"), F.first("keys").alias("keys"))
+    reps = stash(reps.select("c1", "c2", "n", "keys", F.col("own.row").alias("id"), F.col("own.id").alias("name"), F.col("own.h").alias("h")), "reps")
+    places = reps.select("id", F.coalesce(F.col("name"), F.lit(-1 << 63)).alias("own"), "h")
     pairs, large = candidates(reps.select("id", "n", "keys"), threshold, all_pairs)
     pairs = stash(pairs, "pairs")
-    links = stash(verify(pairs, docs, id_col, text_col, threshold, k), "links")
+    links = stash(verify(pairs, source, places, threshold, k), "links")
     roots = components(links)
-    for last in (False, True):
-        still = stash(unsettled(large, roots), "still")
-        if still.isEmpty():
-            break
-        if last:
-            close = stash(prefixes(still.select("id").distinct(), docs, id_col, text_col, threshold, k), "prefixes")
-            found = across(stash(unsettled(close, roots), "still"), threshold)
-        else:
-            found = centred(still)
-        more = stash(fitting(found, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(stash(verify(more, docs, id_col, text_col, threshold, k), "links"))
-        pairs, roots = pairs.unionByName(more), components(links)
-    roots = roots.select(F.col("node").alias("id"), "root")
-    classes = reps.select("c1", "c2", "id").join(roots, "id", "left").select("c1", "c2", F.coalesce("root", "id").alias("class"))
-    out = rows.join(classes, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.least("class", "id")).otherwise(F.col("id")).alias("class_id"))
-    return out.select(id_col, "class_id", F.col(id_col).eqNullSafe(F.col("class_id")).alias("kept"))
+    still = stash(unsettled(large, roots), "still")
+    if not still.isEmpty():
+        asked = still.select("id").distinct().join(places, "id")
+        held = stash(texts_of(source, asked, "own", "h").select(F.col("own").alias("id"), "h", "text").dropDuplicates(["id", "h"]), "held")
+        for last in (False, True):
+            if last:
+                close = stash(prefixes(texts_of(held, asked), threshold, k), "prefixes")
+                found = across(stash(unsettled(close, roots), "still"), threshold)
+            else:
+                found = centred(still)
+            more = stash(fitting(found, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+            roots = extended(roots, stash(verify(more, held, places, threshold, k), "links"))
+            pairs = pairs.unionByName(more)
+            if not last:
+                still = stash(unsettled(still.select("key", "id", "n", "m"), roots), "still")
+                if still.isEmpty():
+                    break
+                asked = still.select("id").distinct().join(places, "id")
+    placed = reps.select("c1", "c2", "id", "name").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("name").isNull().alias("none"), "name", "id")).alias("best"))
+    classes = placed.join(best, "root").select("c1", "c2", F.col("best.name").alias("class"), F.col("best.id").alias("stays"))
+    some = F.col("n") > 0
+    out = rows.join(classes, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.when(some, F.col("class")).otherwise(F.col("id")).alias("class_id"), F.when(some, F.col("row") == F.col("stays")).otherwise(F.lit(True)).alias("kept"), *(F.col(f"also_{n}").alias(c) for n, c in enumerate(also)))
+    return out
