@@ -1,14 +1,19 @@
 """Benchmark decontamination by winnowing.
 
 Word k-grams are hashed and the minimum of every sliding window of w hashes is kept (the rightmost of ties), so any
-shared run of k + w - 1 words holds a k-gram that both sides kept. Kept k-grams of documents look up those of the
-items, and each hit is extended word by word to both sides; a run counts if it has `window` words. Items with fewer
-words are one window: all their words at once are the k-gram, and every position of a document is kept for it.
-
-The items go to the executors in slices of bounded size (`slice_bytes`), each against all documents in blocks; with more
-than one slice, the hits of a document are united afterwards. Null or wordless texts have no words and no hits; an item
-without words has no window; repeated item ids count once; rows that repeat an id are counted each for itself with one
-slice and united with more; extra columns are ignored.
+shared run of k + w - 1 words holds a k-gram that both sides kept. Items with fewer words are one window: all their words
+at once are the k-gram, and every position of a document is kept for it.
+
+1. The fingerprints of the items become a table (fingerprint, item) and a bit map of bounded size.
+2. Every document is winnowed; the fingerprints that the bit map knows are written with it.
+3. They are joined with the items' fingerprints, which gives the items each document may hold.
+4. A document meets these items, `chunk` at a time: each shared fingerprint is extended word by word to both sides; a run
+   counts if it has `window` words.
+
+Null or wordless texts have no words and no hits; an item without words has no window; items with equal texts are one text
+with several ids; a repeated item id counts once; the words of an item with a null id are hit, but no id is listed or
+counted for it. Rows that repeat a document id, or have none, are judged each for itself. Other columns are ignored, but
+for those named in `also`.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, byte_view, gram_hash, word_hashes
+from .common import U64, blocks, byte_view, gram_hash, mix, stash, word_hashes
 
 
 def winnow(grams: np.ndarray, first: np.ndarray, counts: np.ndarray, w: int) -> np.ndarray:
@@ -49,7 +56,7 @@ def winnow(grams: np.ndarray, first: np.ndarray, counts: np.ndarray, w: int) ->
 
 
 class Items:
-    """Fingerprints of a slice of benchmark items."""
+    """Fingerprints of some benchmark items; ids holds the list of ids of each text."""
 
     def __init__(self, ids: list, texts: list, window: int = 13, k: int = 7):
         self.window, self.k, self.ids = window, k, ids
@@ -111,34 +118,107 @@ class Items:
                     yield row, item, at, at + size
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, slice_bytes: int) -> list[DataFrame]:
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(total / slice_bytes) or 1
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("text"), F.lit(2 * n)) == i) for i in range(2 * n)]
+def fingerprints(words: np.ndarray, first: np.ndarray, window: int, k: int, short: list[int], whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the kept k-grams of rows of at least `window` words, and of the grams of the sizes in short: all of them, or (whole) of rows that have just as many words."""
+    n = np.diff(first)
+    grams = gram_hash(words, k)
+    at = winnow(grams, first[:-1], np.where(n >= window, n - k + 1, 0), window - k + 1)
+    rows, prints = [np.searchsorted(first, at, "right") - 1], [grams[at]]
+    for size in short:
+        g = gram_hash(words, size)
+        some = np.flatnonzero(n == size) if whole else np.flatnonzero(n >= size)
+        counts = n[some] - size + 1
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[some], counts)
+        rows.append(np.repeat(some, counts))
+        prints.append(mix(g[at] + U64(size)))
+    return np.concatenate(rows), np.concatenate(prints)
+
+
+def item_prints(items: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
+    """print, item of each fingerprint of items (item, ids, text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = byte_view(batch.column(1))
+            for i, j in blocks(off):
+                words, first = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                rows, prints = fingerprints(words, first, window, k, short, True)
+                yield pa.record_batch([pa.array(prints.view(np.int64)), batch.column(0).take(pa.array(rows + i))], ["print", "item"])
+
+    return items.select("item", "text").mapInArrow(each, "print long, item long").distinct()
+
+
+SLICES = 64
+
 
+def bit_map(prints: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits, those of the prints set: its size is bounded whatever their number."""
+    inner = bits - 6
 
-def find_hits(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, words, hit word runs as packed int64 pairs, indexes of items found."""
+    def add(group: pa.Table) -> pa.Table:
+        held = np.zeros(1 << inner, dtype=bool)
+        held[group.column("slot").to_numpy()] = True
+        return pa.table({"slice": group.column("slice").slice(0, 1), "map": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    slot = F.shiftrightunsigned("print", 64 - bits)
+    slots = prints.select(F.shiftright(slot, inner).cast("int").alias("slice"), slot.bitwiseAND(F.lit((1 << inner) - 1)).cast("int").alias("slot")).distinct()
+    out = np.zeros((SLICES, 1 << inner >> 3), dtype=np.uint8)
+    for r in slots.groupBy("slice").applyInArrow(add, "slice int, map binary").collect():
+        out[r["slice"]] = np.frombuffer(r["map"], np.uint8)
+    return out.reshape(-1)
+
+
+def screen(docs: DataFrame, known, bits: int, window: int, k: int, short: list[int]) -> DataFrame:
+    """docs (id, text) with row (unique once written), n_words and the prints that the bit map knows; the text only where there is one."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, row = known.value, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            data, off = byte_view(batch.column(1))
+            n_words, prints = [], []
+            for i, j in blocks(off):
+                words, first = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                n_words.append(np.diff(first))
+                rows, found = fingerprints(words, first, window, k, short, False)
+                slot = (found >> U64(64 - bits)).astype(np.int64)
+                hit = np.flatnonzero(held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                own: list[set] = [set() for _ in range(j - i)]
+                for r, x in zip(rows[hit].tolist(), found[hit].view(np.int64).tolist(), strict=True):
+                    own[r].add(x)
+                prints += [sorted(x) for x in own]
+            some = pa.array([bool(p) for p in prints], pa.bool_())
+            rest = [pa.array(np.arange(row, row + batch.num_rows)), pa.array(np.concatenate(n_words) if n_words else np.zeros(0, np.int64)), pa.array(prints, pa.list_(pa.int64()))]
+            row += batch.num_rows
+            text = pc.if_else(some, batch.column(1), pa.scalar(None, batch.column(1).type))
+            yield pa.record_batch([batch.column(0), text, *batch.columns[2:], *rest], schema=pa.schema([*(pa.field(f.name, f.type) for f in batch.schema), ("row", pa.int64()), ("n_words", pa.int64()), ("prints", pa.list_(pa.int64()))]))
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(each, f"{names}, row long, n_words long, prints array<long>")
+
+
+def find_hits(asked: DataFrame, window: int, k: int) -> DataFrame:
+    """asked: row, text, items (structs of ids and text). Per row: hit word runs as packed int64 pairs, ids of items found."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: dict[str, list] = {}
+            for own in batch.column(2).to_pylist():
+                held.update((x["text"], x["ids"]) for x in own)
+            items = Items(list(held.values()), list(held), window, k)
             data, off = byte_view(batch.column(1))
-            n_words, runs, names = [], [], []
+            runs, names = [], []
             for i, j in blocks(off):
                 words, first = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 spans: list[list] = [[] for _ in range(j - i)]
                 found: list[set] = [set() for _ in range(j - i)]
                 for row, item, a, b in items.hits(words, first):
                     spans[row].append((a - first[row], b - first[row]))
-                    found[row].add(items.ids[item])
-                n_words += np.diff(first).tolist()
+                    found[row].update(items.ids[item])
                 runs += [np.array(s, dtype=np.int64).tobytes() for s in spans]
                 names += [sorted(f) for f in found]
-            yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(runs, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["id", "n_words", "runs", "items"])
+            yield pa.record_batch([batch.column(0), pa.array(runs, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["row", "runs", "items"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(each, "id long, n_words long, runs binary, items array<string>")
+    return asked.select("row", "text", "items").mapInArrow(each, "row long, runs binary, items array<string>")
 
 
 def covered(runs: bytes) -> int:
@@ -150,28 +230,48 @@ def covered(runs: bytes) -> int:
     return total
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, k: int = 7, slice_bytes: int = 8 << 20) -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated (a twentieth of the words or more are hit)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, k: int = 7, chunk: int = 128, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated (a twentieth of the words or more are hit), and the columns in `also`."""
     if not 0 < window - k + 1 <= k <= 32:
         raise ValueError("k must be over half the window and at most 32")
-    parts = []
-    for part in _slices(benchmark, item_col, text_col, slice_bytes):
-        rows = part.where("item is not null").dropDuplicates(["item", "text"]).collect()
-        parts.append(find_hits(docs, Items([r.item for r in rows], [r.text for r in rows], window, k), id_col, text_col))
-    hits = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
-        joined = F.array_join(F.transform(F.collect_list("runs"), F.hex), "")
-        hits = hits.groupBy("id").agg(F.max("n_words").alias("n_words"), F.unhex(joined).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    items = items.groupBy("text").agg(F.collect_set("id").alias("ids")).select(F.monotonically_increasing_id().alias("item"), "ids", "text")
+    items = stash(items, "items")
+    sizes = items.mapInArrow(lambda batches: _sizes(batches, window), "size int").distinct().collect()  # below the window each
+    short = sorted(r["size"] for r in sizes)
+    prints = stash(item_prints(items, window, k, short), "prints")
+    bits = min(28, max(16, math.ceil(math.log2(4096 * max(1, prints.count())))))
+    known = spark.sparkContext.broadcast(bit_map(prints, bits))
+    carried = [F.col(c).alias(f"also_{n}") for n, c in enumerate(also)]
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carried)
+    rows = stash(screen(source, known, bits, window, k, short), "screened")
+    pairs = rows.where(F.size("prints") > 0).select("row", F.explode("prints").alias("print")).join(prints, "print").select("row", "item").distinct()
+    part = F.pmod(F.xxhash64("item"), F.col("parts")).alias("part")
+    parts = pairs.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
+    held = pairs.join(parts, "row").select("row", part, "item").join(items, "item").groupBy("row", "part").agg(F.collect_list(F.struct("ids", "text")).alias("items"))
+    asked = rows.where(F.size("prints") > 0).select("row", "text").join(held, "row")
+    joined = F.unhex(F.array_join(F.transform(F.collect_list("runs"), F.hex), ""))
+    hits = find_hits(asked, window, k).groupBy("row").agg(joined.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = rows.select("id", "row", "n_words", *(f"also_{n}" for n in range(len(also)))).join(hits, "row", "left").drop("row")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).to_pylist()
-            hit = [covered(x or b"") for x in batch.column(2).to_pylist()]
-            names = batch.column(3).to_pylist()
+            n = batch.column("n_words").to_pylist()
+            hit = [covered(x or b"") for x in batch.column("runs").to_pylist()]
+            names = batch.column("items").to_pylist()
             sums = [hashlib.sha256(",".join(x or []).encode()).hexdigest() for x in names]
             bad = [h > 0 and 20 * h >= m for h, m in zip(hit, n, strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x or []) for x in names], pa.int64()), pa.array(sums), pa.array(bad, pa.bool_())], [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            found = [batch.column("id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x or []) for x in names], pa.int64()), pa.array(sums, pa.string()), pa.array(bad, pa.bool_())]
+            yield pa.record_batch([*found, *(batch.column(f"also_{n}") for n in range(len(also)))], [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *also])
+
+    names = "".join(f", `{c}` {hits.schema[f'also_{n}'].dataType.simpleString()}" for n, c in enumerate(also))
+    return hits.mapInArrow(finish, f"`{id_col}` long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{names}")
+
 
-    return hits.mapInArrow(finish, f"`{id_col}` long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+def _sizes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Numbers of words of items (item, ids, text) that are shorter than the window, but not empty."""
+    for batch in batches:
+        data, off = byte_view(batch.column(2))
+        n = np.diff(word_hashes(data[: off[-1]], off)[1]) if batch.num_rows else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(np.unique(n[(n > 0) & (n < window)]), pa.int32())], ["size"])
