@@ -30,6 +30,9 @@ for _b in range(256):
 
 
 class _Memo(dict):
+    #: Longer pieces are not remembered, so that the number of pieces bounds the bytes.
+    longest = 64
+
     def __init__(self, tokenizer, folds: bool, capacity: int):
         super().__init__()
         self.tokenizer, self.model, self.folds, self.capacity = tokenizer, tokenizer.model, folds, capacity
@@ -65,7 +68,8 @@ class _Memo(dict):
             out = start + self.bpe(m[1], lead) + self.mark(m[2])
         else:
             out = start + self.whole(space + word)
-        self[piece] = out
+        if len(piece) <= self.longest:
+            self[piece] = out
         return out
 
     def mark(self, mark: str) -> bytes:

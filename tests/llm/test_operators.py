@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docloom.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, minhash, packing, substring_dedup, token_store, toxicity
@@ -136,11 +137,22 @@ def test_decontamination(docs, nothing, spark):
     want = brute.contaminated(ROWS, BENCHMARK)
     names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert by_id(decontaminate.decontaminate(docs, items), *names) == want
-    assert by_id(decontaminate.decontaminate(docs, items, slice_bytes=60), *names) == want
+    assert by_id(decontaminate.decontaminate(docs, items, chunk=1), *names) == want
     assert decontaminate.decontaminate(nothing, items).count() == 0
     assert all(not r.n_hit for r in decontaminate.decontaminate(docs, items.limit(0)).collect())
 
 
+@pytest.mark.parametrize("chunk", [1, 128])
+def test_decontamination_of_null_and_repeated_ids(spark, chunk):
+    """Each row is judged for itself; an item without an id is hit, but not listed; columns in `also` come through."""
+    items = [(1, BENCHMARK[0][1]), (None, BENCHMARK[3][1]), (2, BENCHMARK[0][1]), (2, "short item here"), (3, "... !")]
+    rows = [(7, "x " + BENCHMARK[0][1], "a"), (7, "nothing to see", "b"), (None, BENCHMARK[3][1], "c"), (None, "Short ITEM here", "d"), (8, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string").repartition(3)
+    found = decontaminate.decontaminate(df.withColumn("mark", F.col("n_words")), spark.createDataFrame(items, "item_id long, text string"), chunk=chunk, also=("mark",))
+    got = sorted((r.mark, r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found.collect())
+    assert got == [("a", 7, 21, 20, 2, True), ("b", 7, 3, 0, 0, False), ("c", None, 13, 13, 0, True), ("d", None, 3, 3, 1, True), ("e", 8, 0, 0, 0, False)]
+
+
 def test_token_store(docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = by_id(token_store.encode_documents(docs, path), "start", "n_tokens", "ids_crc32")
@@ -168,8 +180,17 @@ def test_near_duplicates(docs, nothing, spark):
     assert got == brute.near_classes(ROWS)
     assert minhash.near_duplicates(nothing).count() == 0
     assert {d: c for d, (c,) in by_id(minhash.near_duplicates(docs, all_pairs=2), "class_id").items()} == got
-    null = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
-    assert sorted(((r.doc_id, r.class_id) for r in minhash.near_duplicates(null).collect()), key=str) == [(1, 1), (None, None)]
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Each row is placed by its own text; null ids come last in a class; one row of each class stays, also of equal ones."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, base, "a"), (1, base + " tail", "b"), (1, "nothing like the others at all " * 3, "c"), (None, base + " end", "d"), (None, "x y z", "e"), (None, "X y z", "f"), (2, "", "g"), (2, None, "h"), (0, base, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(4)
+    got = {r.mark: (r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(df.withColumn("mark", F.col("kept")), also=("mark",)).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {"a": (0, 0), "b": (1, 0), "c": (1, 1), "d": (None, 0), "e": (None, None), "f": (None, None), "g": (2, 2), "h": (2, 2), "i": (0, 0)}
+    stay = {k for k, v in got.items() if v[2]}
+    assert stay >= {"c", "g", "h"} and len(stay & {"a", "i"}) == len(stay & {"e", "f"}) == 1 and len(stay) == 5
 
 
 def test_near_duplicates_around_a_base_that_is_not_the_smallest(spark):
