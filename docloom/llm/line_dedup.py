@@ -1,19 +1,8 @@
 """Line deduplication by an exact set-similarity join.
 
 A line (text between LF characters) is the set of its lower-cased words. Lines with equal sets are one class, with its
-first occurrence in the order of (document, line). Words are ordered from rare to frequent by a table of counts over all
-lines of all documents (a fixed number of hash buckets, so it has one size at any scale; any fixed order is exact, only
-the work depends on it).
-
-1. Postings. Two sets with a Jaccard similarity of t share a word among the first n - ceil(t n) + 1 words of each (the
-   prefix), so each set is listed under the words of its prefix. A frequent word is replaced by its combinations with
-   the two words that may follow it, the prefix being longer by one for each, because two such sets share three words.
-   A word that occurs once in all lines is in one set only and lists nothing.
-2. Candidates. Sets under one key are paired if their sizes and the key's places leave room for the overlap (length and
-   positional filters) and 32 parities of their words don't differ too much. Keys with many sets are cut into tiles of
-   pairs, dealt over tasks. Pairs stay packed in units of a few thousand sets.
-3. Verification. Each unit gets the words of its sets once, and counts the shared words of its pairs. A pair that was met
-   under several keys counts only under the first word (or words) that the two share, so no pair is made distinct later.
+first occurrence in the order of (document, line). The sets are joined as set_join says: words by rarity, prefix,
+positional and length filters, verification on the whole sets, which one document that holds each is asked for again.
 
 Sets of fewer than 1 / (1 - t) - 1 words can only equal another and take no part. Words are told apart by 64-bit hashes
 and sets by 96-bit hashes of those.
@@ -26,20 +15,16 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, blocks, byte_view, mix, prefix_hash, running, span_hash, stash, word_spans
-
-COUNT_BITS, SLICES = 22, 64
-#: Ranks are counts on a scale of eight steps an octave.
-STEPS = 8
-
+from .set_join import Plan, candidates, links_of, packed, postings, slot, tiled, word_ranks
 
 def line_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where each line of each row starts; an LF at the end of a row starts none."""
@@ -57,10 +42,6 @@ def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return span_hash(prefix_hash(data, lower=True), starts, ends), first
 
 
-def _slot(words: np.ndarray) -> np.ndarray:
-    return (words >> U64(64 - COUNT_BITS)).astype(np.int64)
-
-
 def line_sets(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each line, by rank and hash, the lines' offsets in them, the lines' rows and numbers."""
     starts = line_starts(data, offsets)
@@ -70,7 +51,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple
         return np.zeros(0, U64), np.zeros(1, np.int64), row, number
     word, first = _words(data, np.append(starts, len(data)))
     line = np.repeat(np.arange(len(starts)), np.diff(first))
-    rank = ranks[_slot(word)].astype(np.int64)
+    rank = ranks[slot(word)].astype(np.int64)
     key = line.astype(U64) << U64(40) | rank.astype(U64) << U64(32) | word >> U64(32)
     order = np.argsort(key, kind="stable")
     key, sorted_words = key[order], word[order]
@@ -83,110 +64,30 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple
     return sorted_words[new], np.searchsorted(line[new], np.arange(len(starts) + 1)), row, number
 
 
-def set_hashes(words: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of each set: int64 and int32."""
+def set_hashes(words: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """64 bits of each set, as int64."""
     one, two = running(mix(words)), running(mix(words ^ U64(0x5851F42D4C957F2D)))
-    one, two = (x[o[1:]] - x[o[:-1]] for x in (one, two))
-    return mix(one + np.diff(o).astype(U64)).view(np.int64), (mix(two) >> U64(32)).astype(np.uint32).view(np.int32)
-
+    return mix(mix(one[o[1:]] - one[o[:-1]]) + (two[o[1:]] - two[o[:-1]]) + np.diff(o).astype(U64)).view(np.int64)
 
-def word_ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Rank of the words of each hash bucket by their number over all of docs (text), and the number of all words."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        for batch in batches:
-            data, off = byte_view(batch.column(0))
-            for i, j in blocks(off):
-                word, _ = _words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                np.add.at(total, _slot(word), 1)
-        rows = []
-        for s, part in enumerate(total.reshape(SLICES, -1)):
-            some = np.flatnonzero(part)
-            rows.append((s, some.astype(np.uint32).tobytes(), part[some].tobytes()))
-        cols = list(zip(*rows, strict=True))
-        yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["slice", "slots", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros((1 << COUNT_BITS) // SLICES, dtype=np.int64)
-        for slots, counts in zip(group.column("slots").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            total[np.frombuffer(slots, np.uint32)] += np.frombuffer(counts, np.int64)
-        rank = np.minimum(STEPS * np.log2(1 + total), 255).astype(np.uint8)
-        return pa.table({"slice": group.column("slice").slice(0, 1), "ranks": pa.array([rank.tobytes()], pa.binary()), "n": pa.array([int(total.sum())], pa.int64())})
-
-    rows = docs.mapInArrow(each, "slice int, slots binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, ranks binary, n long").collect()
-    out = np.zeros((SLICES, (1 << COUNT_BITS) // SLICES), dtype=np.uint8)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(r["ranks"], np.uint8)
-    return out.reshape(-1), sum(r["n"] for r in rows)
+def _text_words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    data, off = byte_view(batch.column(0))
+    for i, j in blocks(off):
+        yield _words(data[off[i] : off[j]], off[i : j + 1] - off[i])[0]
 
 
 def profile(docs: DataFrame, ranks) -> DataFrame:
-    """Lines of docs (id, text, rid): id, rid, line, n (words), c1, c2 (hash of the set)."""
+    """Lines of docs (id, text, rid): id, rid, line, n (words), c1 (hash of the set)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = byte_view(batch.column(1))
             for i, j in blocks(off):
                 words, o, row, number = line_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], ranks.value)
-                c1, c2 = set_hashes(words, o)
                 at = pa.array(row + i)
-                yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at), pa.array(number, pa.int64()), pa.array(np.diff(o)), pa.array(c1), pa.array(c2)], ["id", "rid", "line", "n", "c1", "c2"])
-
-    return docs.select("id", "text", "rid").mapInArrow(each, "id long, rid long, line long, n long, c1 long, c2 int")
-
-
-def parity(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32 parities of each set: two sets differ in at least as many words as their parities differ in bits."""
-    out = np.zeros(len(offsets) - 1, dtype=np.uint32)
-    some = np.flatnonzero(np.diff(offsets))
-    if len(some):
-        out[some] = np.bitwise_xor.reduceat(np.uint32(1) << (mix(words + U64(9)) & U64(31)).astype(np.uint32), offsets[some])
-    return out
-
-
-#: n and left stop at the largest number of 16 bits, which only lets more candidates through.
-POSTING = np.dtype([("key", "<u4"), ("n", "<u2"), ("left", "<u2"), ("c1", "<i8"), ("c2", "<i4"), ("bits", "<u4")])
-ONE, THREE = U64(1), U64(3)
-
-
-def single_key(a: np.ndarray) -> np.ndarray:
-    return mix(a + ONE)
-
-
-def joint_key(words: list[np.ndarray]) -> np.ndarray:
-    key = words[0] + THREE
-    for w in words[1:]:
-        key = mix(key) + w
-    return mix(key)
-
+                yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at), pa.array(number, pa.int64()), pa.array(np.diff(o)), pa.array(set_hashes(words, o))], ["id", "rid", "line", "n", "c1"])
 
-def _places(first: int, prefix: int, n: int, depth: int) -> np.ndarray:
-    """[combinations, depth] rising places with the first in [first, prefix) and each next one below a prefix longer by one."""
-    out = np.arange(first, prefix)[:, None]
-    for level in range(1, depth):
-        end = min(prefix + level, n)
-        counts = np.maximum(end - 1 - out[:, -1], 0)
-        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        out = np.repeat(out, counts, axis=0)
-        out = np.concatenate((out, (out[:, -1] + 1 + step)[:, None]), axis=1)
-    return out
-
-
-class Plan:
-    """Numbers that follow from the threshold: sizes that can match, prefixes, and words in the key of a frequent word."""
-
-    def __init__(self, t: float, frequent: int = 1024):
-        self.t = t
-        self.least = math.ceil(1 / (1 - t) - 1e-9) - 1 if t < 1 else 1 << 30
-        self.depth = min(3, self.least)
-        self.hot_rank = int(STEPS * math.log2(1 + frequent))
-
-    def prefix(self, n: int) -> int:
-        return n - math.ceil(self.t * n - 1e-9) + 1
-
-    def need(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        return np.ceil(self.t / (1 + self.t) * (n + m) - 1e-9)
+    return docs.select("id", "text", "rid").mapInArrow(each, "id long, rid long, line long, n long, c1 long")
 
 
 def keyed(docs: DataFrame, ranks, plan: Plan, buckets: int, remember: int = 200_000) -> DataFrame:
@@ -195,52 +96,25 @@ def keyed(docs: DataFrame, ranks, plan: Plan, buckets: int, remember: int = 200_
     A task lists a set again only after `remember` others.
     """
 
-    def postings(words: np.ndarray, o: np.ndarray, c1: np.ndarray, c2: np.ndarray, rank_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = np.diff(o)
-        bits = parity(words, o)
-        for size in np.unique(n[n >= plan.least]).tolist():
-            some = np.flatnonzero(n == size)
-            prefix = plan.prefix(size)
-            own = words[o[some][:, None] + np.arange(min(prefix + plan.depth - 1, size))]
-            hot = (rank_of[_slot(own[:, :prefix])] > plan.hot_rank).argmax(axis=1)  # ranks rise, so all from there on are hot
-            hot = np.where(rank_of[_slot(own[:, prefix - 1])] > plan.hot_rank, hot, prefix)
-            for first in np.unique(hot).tolist():
-                rows = np.flatnonzero(hot == first)
-                keys = [single_key(own[rows, :first])]
-                places = [np.arange(first)]
-                if first < prefix:
-                    joint = _places(first, prefix, size, plan.depth)
-                    keys.append(joint_key([own[rows][:, joint[:, level]] for level in range(plan.depth)]))
-                    places.append(joint[:, 0])
-                key, place = np.concatenate(keys, axis=1), np.concatenate(places)
-                out = np.empty(key.shape, dtype=POSTING)
-                out["key"] = (key >> U64(32)).astype(np.uint32)
-                for name, x in (("c1", c1), ("c2", c2), ("bits", bits)):
-                    out[name] = x[some[rows]][:, None]
-                out["n"], out["left"] = min(size, 65535), np.minimum(size - place, 65535)
-                shared = np.ones(key.shape, dtype=bool)
-                shared[:, :first] = rank_of[_slot(own[rows, :first])] > STEPS
-                yield out[shared], (key[shared] % U64(buckets)).astype(np.int64)
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         """Words, sizes and hashes of the sets that are new to the task, about a million words at a time."""
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
             data, off = byte_view(batch.column(0))
             for i, j in blocks(off):
                 words, o, _, _ = line_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], ranks.value)
-                c1, c2 = set_hashes(words, o)
+                c1 = set_hashes(words, o)
                 fresh = np.zeros(len(c1), dtype=bool)
-                for x, name in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
+                for x, name in enumerate(c1.tolist()):
                     if name not in seen:
                         seen.add(name)
                         fresh[x] = True
                 if len(seen) > remember:
                     seen.clear()
                 n = np.diff(o)
-                held.append((words[np.repeat(fresh, n)], n[fresh], c1[fresh], c2[fresh]))
+                held.append((words[np.repeat(fresh, n)], n[fresh], c1[fresh]))
                 size += len(held[-1][0])
                 if size > 1 << 20:
                     yield [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -249,203 +123,44 @@ def keyed(docs: DataFrame, ranks, plan: Plan, buckets: int, remember: int = 200_
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank_of = ranks.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            rows, where = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(where, kind="stable")
-            rows, where = rows[order], where[order]
-            cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-            ends = np.append(cut[1:], len(rows))
-            return pa.record_batch([pa.array(where[cut], pa.int64()), pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "postings"])
-
-        for words, n, c1, c2 in sets(batches):
-            for rows, where in postings(words, np.concatenate(([0], np.cumsum(n))), c1, c2, rank_of):
-                held.append((rows, where))
-                size += rows.nbytes
-            if size > 16 << 20:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
+        yield from packed(p for words, n, c1 in sets(batches) for p in postings(plan, ranks.value, buckets, words, np.concatenate(([0], np.cumsum(n))), c1))
 
     return docs.select("text").mapInArrow(each, "bucket long, postings binary")
 
 
-UNITS = "gid long, c1 long, c2 int, at int, pairs binary, tile binary"
-
-
-def pack_pairs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> bytes:
-    """Places of members and the keys under which they met, rows of one key behind each other."""
-    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    kind = np.uint16 if max(a.max(), b.max()) < 1 << 16 else np.uint32
-    head = np.array([len(cut), len(a), np.dtype(kind).itemsize], np.int64)
-    return b"".join(x.tobytes() for x in (head, key[cut], np.diff(np.append(cut, len(key))).astype(np.uint32), a.astype(kind), b.astype(kind)))
-
-
-def unpack_pairs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists, n, width = np.frombuffer(raw, np.int64, 3).tolist()
-    key, counts = np.frombuffer(raw, np.uint32, 2 * lists, 24).reshape(2, -1)
-    a, b = np.frombuffer(raw, f"<u{width}", 2 * n, 24 + 8 * lists).astype(np.int64).reshape(2, -1)
-    return a, b, np.repeat(key, counts)
-
-
-def _fitting(plan: Plan, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs (places in rows) pass the filters; rows[b] is not smaller than rows[a]."""
-    n, m = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
-    need = plan.need(n, m)
-    good = (n >= plan.t * m - 1e-9) & (np.minimum(rows["left"][a], rows["left"][b]) >= need)
-    return good & (np.bitwise_count(rows["bits"][a] ^ rows["bits"][b]) <= n + m - 2 * need)
-
-
-def _unit(gid: int, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Members and pairs of a unit; a, b are places in rows."""
-    at, back = np.unique(np.concatenate((a, b)), return_inverse=True)
-    names = np.empty(len(at), dtype=[("c1", "<i8"), ("c2", "<i4")])
-    names["c1"], names["c2"] = rows["c1"][at], rows["c2"][at]
-    names, again = np.unique(names, return_inverse=True)  # a set is listed under several keys
-    back = again.reshape(-1)[back]
-    raw, n = pack_pairs(back[: len(a)], back[len(a) :], rows["key"][a]), len(names)
-    return pa.table({"gid": pa.array(np.full(n, gid)), "c1": pa.array(np.ascontiguousarray(names["c1"])), "c2": pa.array(np.ascontiguousarray(names["c2"])), "at": pa.array(np.arange(n, dtype=np.int32)), "pairs": pa.array([raw] + [None] * (n - 1), pa.binary()), "tile": pa.nulls(n, pa.binary())})
-
-
-_NO_UNIT = pa.table({"gid": pa.array([], pa.int64()), "c1": pa.array([], pa.int64()), "c2": pa.array([], pa.int32()), "at": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary()), "tile": pa.array([], pa.binary())})
-
-
-def candidates(postings: DataFrame, plan: Plan, tile: int = 2048, unit_words: int = 400_000, chunk: int = 1 << 21) -> DataFrame:
-    """Units: rows (gid, at, c1, c2) of their members, the first with all pairs; and tiles, rows with a part of a long list."""
-
-    def join(group: pa.Table) -> pa.Table:
-        gid = group.column("bucket")[0].as_py() << 32
-        rows = np.concatenate([np.frombuffer(x, POSTING) for x in group.column("postings").to_pylist()])
-        order = np.lexsort((-rows["left"].astype(np.int64), rows["c2"], rows["c1"], rows["n"], rows["key"]))
-        rows = rows[order]
-        again = np.zeros(len(rows), dtype=bool)
-        again[1:] = (rows["key"][1:] == rows["key"][:-1]) & (rows["c1"][1:] == rows["c1"][:-1]) & (rows["c2"][1:] == rows["c2"][:-1])
-        rows = rows[~again]
-        cut = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
-        sizes = np.diff(np.append(cut, len(rows)))
-        number = np.repeat(np.arange(len(cut)), sizes)
-        code = number << 17 | rows["n"].astype(np.int64)
-        most = np.minimum(np.floor(rows["n"] / plan.t + 1e-9), 65535).astype(np.int64)
-        partners = np.searchsorted(code, number << 17 | most, "right") - np.arange(len(rows)) - 1
-        out = [_NO_UNIT]
-        for x in np.flatnonzero(sizes > tile).tolist():  # long lists: tiles of pairs for other tasks
-            steps = range(cut[x], cut[x] + sizes[x], tile // 2)
-            partners[cut[x] : cut[x] + sizes[x]] = 0
-            for p in steps:
-                left = rows[p : min(p + tile // 2, cut[x] + sizes[x])]
-                for q in steps:
-                    right = rows[q : min(q + tile // 2, cut[x] + sizes[x])]
-                    if q >= p and right["n"][0] <= left["n"][-1] / plan.t + 1e-9:
-                        raw = np.int64(len(left)).tobytes() + left.tobytes() + (right.tobytes() if q > p else b"")
-                        out.append(pa.table([pa.array([gid], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary())), pa.array([raw], pa.binary())], names=_NO_UNIT.column_names))
-                        gid += 1
-        done = np.concatenate(([0], np.cumsum(partners)))
-        at, ends = 0, np.append(cut[1:], len(rows))
-        while at < len(rows):
-            stop = int(ends[max(np.searchsorted(done[ends], done[at] + chunk, "right") - 1, number[at])])
-            n = partners[at:stop]
-            a = np.repeat(np.arange(at, stop), n)
-            b = a + 1 + np.arange(len(a)) - np.repeat(done[at:stop] - done[at], n)
-            good = _fitting(plan, rows, a, b)
-            a, b = a[good], b[good]
-            at = stop
-            if len(a):
-                words = np.cumsum(rows["n"][a].astype(np.int64) + rows["n"][b])  # at most; whole lists stay together
-                part = words[np.searchsorted(number[a], number[a])] // (4 * unit_words)
-                for c in np.unique(part):
-                    some = part == c
-                    out.append(_unit(gid, rows, a[some], b[some]))
-                    gid += 1
-        return pa.concat_tables(out)
-
-    return postings.groupBy("bucket").applyInArrow(join, UNITS)
-
-
-def tiled(tiles: DataFrame, plan: Plan) -> DataFrame:
-    """Units from the tiles of long lists."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, rows = int(np.frombuffer(raw, np.int64, 1)[0]), np.frombuffer(raw, POSTING, -1, 8)
-                a, b = np.triu_indices(n, 1) if len(rows) == n else (x.reshape(-1) for x in np.indices((n, len(rows) - n)))
-                b = b if len(rows) == n else b + n
-                good = _fitting(plan, rows, a, b)
-                if good.any():
-                    yield from _unit(gid, rows, a[good], b[good]).to_batches()
-
-    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.select("gid", "tile").repartition(parts, "gid").mapInArrow(each, UNITS)
-
-
 def asked_words(units: DataFrame, sets: DataFrame, docs: DataFrame, ranks) -> DataFrame:
-    """c1, c2, words (packed), first of the sets in units, taken again from one document that holds each."""
-    asked = units.select("c1", "c2").distinct().join(sets, ["c1", "c2"])
+    """c1, words (packed), first of the sets in units, taken again from one document that holds each."""
+    asked = units.select("c1").distinct().join(sets, "c1")
     own = F.coalesce(F.col("id"), F.lit(-1 << 63)).alias("own")
-    lines = asked.select(F.col("source.id").alias("id"), F.col("source.rid").alias("rid"), F.struct(F.col("source.line").alias("line"), "c1", "c2", "first").alias("line"))
+    lines = asked.select(F.col("source.id").alias("id"), F.col("source.rid").alias("rid"), F.struct(F.col("source.line").alias("line"), "c1", "first").alias("line"))
     lines = lines.groupBy(own, "rid").agg(F.collect_list("line").alias("lines"))
     texts = docs.select(own, "rid", "text").join(lines, ["own", "rid"]).select("text", "lines")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                data, off = byte_view(batch.column(0).slice(r, 1))
-                words, o, _, _ = line_sets(data[off[0] : off[1]], off - off[0], ranks.value)
-                wanted = batch.column(1)[r].as_py()
-                c1, c2 = set_hashes(words, o)
-                hold = [w for w in wanted if w["line"] < len(c1) and c1[w["line"]] == w["c1"] and c2[w["line"]] == w["c2"]]
-                raw = [words[o[w["line"]] : o[w["line"] + 1]].tobytes() for w in hold]
-                first = pa.array([w["first"] for w in hold], pa.struct([("id", pa.int64()), ("line", pa.int64())]))
-                yield pa.record_batch([pa.array([w["c1"] for w in hold], pa.int64()), pa.array([w["c2"] for w in hold], pa.int32()), pa.array(raw, pa.binary()), first], ["c1", "c2", "words", "first"])
-
-    return texts.mapInArrow(each, "c1 long, c2 int, words binary, first struct<id:long,line:long>").dropDuplicates(["c1", "c2"])
-
-
-def _links(group: pa.Table, plan: Plan, rank_of: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the members of the unit's links, each link once among all units."""
-    words, o = np.frombuffer(b"".join(group.column("words").to_pylist()), U64), np.concatenate(([0], np.cumsum([len(w) // 8 for w in group.column("words").to_pylist()])))
-    left, right, met = unpack_pairs(next(p for p in group.column("pairs").to_pylist() if p is not None))
-    bucket = group.column("gid")[0].as_py() >> 32
-    order = np.argsort(left, kind="stable")
-    left, right, met = left[order], right[order], met[order]
-    n = np.diff(o)
-    _, local = np.unique(words, return_inverse=True)
-    where = np.full(len(words), -1, dtype=np.int64)  # place of a word in the set at hand
-    cut = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
-    found: list[np.ndarray] = []
-    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(left)], strict=True):
-        x, y = int(left[lo]), right[lo:hi]
-        mine = local[o[x] : o[x + 1]]
-        where[mine] = np.arange(len(mine))
-        ends = np.cumsum(n[y])
-        at = where[local[np.arange(ends[-1]) + np.repeat(o[y] - (ends - n[y]), n[y])]]
-        where[mine] = -1
-        both = at >= 0
-        shared = np.add.reduceat(both, ends - n[y], dtype=np.int64)
-        link = np.flatnonzero(shared >= plan.t * (n[x] + n[y] - shared) - 1e-9)
-        if len(link):
-            common = at[both]  # in the order of the words for each pair
-            begin = (np.cumsum(shared) - shared)[link]
-            own = words[o[x] : o[x + 1]]
-            key = single_key(own[common[begin]])
-            hot = rank_of[_slot(own[common[begin]])] > plan.hot_rank
-            if hot.any():
-                key = np.where(hot, joint_key([own[common[begin + level]] for level in range(plan.depth)]), key)
-            once = (key >> U64(32) == met[lo:hi][link]) & (key % U64(buckets) == U64(bucket))
-            found.append(np.stack((np.full(int(once.sum()), x), y[link][once])))
-    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
+            data, off = byte_view(batch.column(0))
+            for i, j in blocks(off):
+                wanted = batch.column(1).slice(i, j - i)
+                rows = pa.compute.list_parent_indices(wanted).to_numpy()
+                line, c1, first = wanted.flatten().flatten()
+                words, o, row, number = line_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], ranks.value)
+                begin = np.searchsorted(row, np.arange(j - i + 1))
+                at = begin[rows] + line.to_numpy()
+                hold = np.flatnonzero(at < begin[rows + 1])  # another text may go by the same id
+                hold = hold[set_hashes(words, o)[at[hold]] == c1.to_numpy()[hold]]
+                raw = [words[a:b].tobytes() for a, b in zip(o[at[hold]].tolist(), o[at[hold] + 1].tolist(), strict=True)]
+                take = pa.array(hold)
+                yield pa.record_batch([c1.take(take), pa.array(raw, pa.binary()), first.take(take)], ["c1", "words", "first"])
+
+    return texts.mapInArrow(each, "c1 long, words binary, first struct<id:long,line:long>").dropDuplicates(["c1"])
 
 
 def verified(units: DataFrame, words: DataFrame, plan: Plan, ranks, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Per set with links, partial sums: c1, c2, links, other (first of the earliest set linked); and the links: a1, a2, b1, b2."""
+    """Per set with links, partial sums: c1, links, other (first of the earliest set linked); and the links: a, b."""
 
     def sums(group: pa.Table) -> pa.Table:
         group = group.sort_by("at")
-        a, b = _links(group, plan, ranks.value, buckets)
+        a, b = links_of(group, plan, ranks.value, buckets)
         firsts = [(f["id"] is not None, f["id"] or 0, f["line"]) for f in group.column("first").to_pylist()]
         order = np.array(sorted(range(len(firsts)), key=firsts.__getitem__), dtype=np.int64)
         early = np.empty(len(order), dtype=np.int64)
@@ -456,47 +171,47 @@ def verified(units: DataFrame, words: DataFrame, plan: Plan, ranks, buckets: int
         np.minimum.at(other, b, early[a])
         some = pa.array(np.flatnonzero(links))
         picked = pa.array(order[other[np.flatnonzero(links)]])
-        return pa.table({"c1": group.column("c1").take(some), "c2": group.column("c2").take(some), "links": pa.array(links[links > 0], pa.int64()), "other": group.column("first").take(picked)})
+        return pa.table({"c1": group.column("c1").take(some), "links": pa.array(links[links > 0], pa.int64()), "other": group.column("first").take(picked)})
 
     def pairs(group: pa.Table) -> pa.Table:
         group = group.sort_by("at")
-        a, b = (pa.array(x) for x in _links(group, plan, ranks.value, buckets))
-        return pa.table({f"{side}{c}": group.column(f"c{c}").take(x) for side, x in (("a", a), ("b", b)) for c in (1, 2)})
+        a, b = (pa.array(x) for x in links_of(group, plan, ranks.value, buckets))
+        return pa.table({"a": group.column("c1").take(a), "b": group.column("c1").take(b)})
 
-    rows = units.select("gid", "at", "c1", "c2", "pairs").join(words, ["c1", "c2"]).groupBy("gid")
-    return rows.applyInArrow(sums, "c1 long, c2 int, links long, other struct<id:long,line:long>"), rows.applyInArrow(pairs, "a1 long, a2 int, b1 long, b2 int")
+    rows = units.select("gid", "at", "c1", "pairs").join(words, "c1").groupBy("gid")
+    return rows.applyInArrow(sums, "c1 long, links long, other struct<id:long,line:long>"), rows.applyInArrow(pairs, "a long, b long")
 
 
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, frequent: int = 1024, tile: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines (id, line, n, c1, c2, removed, links), classes (c1, c2, first, drop_first, links) and links (a1, a2, b1, b2 of classes)."""
+def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, frequent: int = 1 << 16, tile: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines (id, line, n, c1, removed, links), classes (c1, first, drop_first, links) and links (a, b of classes)."""
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("rid"))
-    table, total = word_ranks(source.select("text"))
+    table, total = word_ranks(source.select("text"), _text_words)
     ranks = docs.sparkSession.sparkContext.broadcast(table)
     plan, buckets = Plan(threshold, frequent), max(16, total // 1_000_000)
     lines = stash(profile(source, ranks), "lines")
     place = F.struct("id", "line")
-    sets = stash(lines.where("n > 0").groupBy("c1", "c2").agg(F.min(place).alias("first"), F.min(F.struct("id", "line", "rid")).alias("source")), "sets")
-    found = stash(candidates(keyed(source, ranks, plan, buckets), plan, tile), "units")
+    sets = stash(lines.where("n > 0").groupBy("c1").agg(F.min(place).alias("first"), F.min(F.struct("id", "line", "rid")).alias("source")), "sets")
+    found = stash(candidates(keyed(source, ranks, plan, buckets), plan, tile=tile), "units")
     units = found.where("tile is null").unionByName(stash(tiled(found.where("tile is not null"), plan), "tiled"))
     words = stash(asked_words(units, sets, source, ranks), "words")
     sums, links = verified(units, words, plan, ranks, buckets)
-    earliest = sums.groupBy("c1", "c2").agg(F.sum("links").alias("links"), F.min("other").alias("other"))
-    classes = sets.join(earliest, ["c1", "c2"], "left").select("c1", "c2", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("drop_first"), F.coalesce("links", F.lit(0)).alias("links"))
+    earliest = sums.groupBy("c1").agg(F.sum("links").alias("links"), F.min("other").alias("other"))
+    classes = sets.join(earliest, "c1", "left").select("c1", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("drop_first"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = stash(classes, "classes")
-    judged = lines.select("id", "line", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
+    judged = lines.select("id", "line", "n", "c1").join(classes, "c1", "left")
     removed = F.coalesce(~place.eqNullSafe(F.col("first")) | F.col("drop_first"), F.lit(False)) & (F.col("n") > 0)
-    return judged.select("id", "line", "n", "c1", "c2", removed.alias("removed"), F.coalesce("links", F.lit(0)).alias("links")), classes, links
+    return judged.select("id", "line", "n", "c1", removed.alias("removed"), F.coalesce("links", F.lit(0)).alias("links")), classes, links
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, frequent: int = 1024, tile: int = 2048) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, frequent: int = 1 << 16, tile: int = 2048) -> DataFrame:
     """Per document: id, class_id (smallest id with the same sequence of line sets), n_lines, n_removed, n_links.
 
     n_links: links of its distinct line sets to other line sets.
     """
     judged, _, _ = similar_lines(docs, id_col, text_col, threshold, frequent, tile)
-    sign = F.sum(F.xxhash64("c1", "c2", "line").cast("decimal(38,0)")).alias("sign")
-    own = judged.groupBy("id", "c1", "c2").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("removed").cast("long")).alias("gone"), F.max("links").alias("links"), sign)
+    sign = F.sum(F.xxhash64("c1", "line").cast("decimal(38,0)")).alias("sign")
+    own = judged.groupBy("id", "c1").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("removed").cast("long")).alias("gone"), F.max("links").alias("links"), sign)
     found = own.groupBy("id").agg(F.sum("lines").alias("n_lines"), F.sum("gone").alias("n_removed"), F.sum("links").alias("n_links"), F.sum("sign").alias("sign"))
     every = docs.select(F.col(id_col).cast("long").alias("id")).distinct()
     whole = every.join(found, every["id"].eqNullSafe(found["id"]), "left").select(every["id"], *(F.coalesce(found[c], F.lit(0)).alias(c) for c in ("n_lines", "n_removed", "n_links")), F.coalesce(found["sign"].cast("string"), F.lit("none")).alias("sign"))
