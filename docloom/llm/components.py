@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from .common import stash
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u > v) are stars: one edge for each u, and no v is a u."""
+    roles = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+    seen = roles.groupBy("n").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+    return not seen.where("up > 1 or up > 0 and low > 0").agg(F.count(F.lit(1))).first()[0]
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: a, b. Per node with an edge: node, root (the smallest node of its component)."""
     u, v = F.col("u"), F.col("v")
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-    last = sign(now)
     for _ in range(rounds):
-        if not last[0]:
+        if _settled(now):
             break
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,14 +30,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v)
         now = stash(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        here = sign(now)
-        if here == last:
-            break
-        last = here
     else:
         raise RuntimeError("components did not settle")
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(u.alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
+    return now.select(u.alias("node"), v.alias("root")).unionByName(now.select(v.alias("node"), v.alias("root")).distinct())
 
 
 def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:

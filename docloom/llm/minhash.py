@@ -10,9 +10,9 @@ share a band are candidates. In a band bucket of up to `all_pairs` members every
 member is a candidate with the smallest member, of the bucket and of its parts that share further bands. Candidates are
 verified on the multisets of their whole texts; classes are the connected components of the verified links, named by
 their smallest id. Larger buckets whose members are then in several classes are looked at again: first each member with
-the one that shares the most bands with others, then all members of such buckets by an exact prefix join: with shingles
-ordered by rarity, two texts at the threshold share one of their first n - threshold n + 1. So no pair that shares a
-band is left out: it is verified, or its sizes, its prefixes or the places there of their first common shingle rule it out, or it is in one class already.
+the one that shares the most bands with others, then all members of such buckets by an exact join of their multisets
+(set_join), between classes only. So no pair that shares a band is left out: it is verified, or the filters of that join
+rule it out, or it is in one class already.
 
 With 32 bands of 5 registers, a pair at the threshold 0.8 shares a band with a probability over 0.99999. Texts without
 words (null, empty) are classes of their own; texts of fewer words than a shingle are one shingle. Rows are told apart by
@@ -23,7 +23,7 @@ table gives an empty result; other columns are ignored, but for those named in `
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import set_join
 from .common import U64, blocks, byte_view, mix, running, shingles, stash, word_hashes
 from .components import components, extended
 
@@ -186,60 +187,65 @@ def centred(still: DataFrame) -> DataFrame:
     return sides.select(F.col("top.id").alias("a"), F.col("top.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
 
 
-def across(still: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a shingle of their prefixes, are in different classes and have enough shingles left from that one on."""
-    side = lambda x: still.select("key", F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("at").alias(f"{x}at"), F.col("root").alias(f"{x}r"))
-    part = still.select("key", "root").distinct()  # by pairs of classes, so that pairs inside a class are never made
-    two = part.withColumnRenamed("root", "ar").join(part.withColumnRenamed("root", "br"), "key").where("ar < br")
-    enough = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) >= F.lit(threshold / (1 + threshold)) * (F.col("an") + F.col("bn")) - 1e-6
-    return two.join(side("a"), ["key", "ar"]).join(side("b"), ["key", "br"]).where(enough)
-
-
 def texts_of(source: DataFrame, asked: DataFrame, *more: str) -> DataFrame:
-    """asked: own, h (of representatives), id and more. The same with their texts, of source (id, h, text).
-
-    asked is written first, so that the planner knows its size: a small one is broadcast, and the texts stay where they are.
-    """
+    """asked: own, h (of representatives), id and more. The same with their texts, of source (id, h, text)."""
     own = F.coalesce(F.col("id"), F.lit(-1 << 63)).alias("own")
-    return source.select(own, "h", "text").join(stash(asked, "asked"), ["own", "h"]).select("id", "text", *more)
-
-
-def prefixes(texts: DataFrame, threshold: float, k: int, bits: int = 22) -> DataFrame:
-    """Per member (id, text) and shingle (each occurrence counts) of its prefix, rarest first: key, id, n, its place. Counts by `bits` bits of a hash set the order only."""
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    texts = source.select(own, "h", "text").hint("merge")  # one plan at every size
+    return texts.join(asked, ["own", "h"]).select("id", "text", *more)
+
+
+def tokens(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row of each block, and a token for each shingle and number of its occurrence with the rows' offsets: the multiset as a set."""
+    data, off = byte_view(batch.column(column))
+    for i, j in blocks(off, 1 << 19):
+        s, c, o = multisets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+        ends = np.cumsum(c)
+        nth = np.arange(c.sum()) - np.repeat(ends - c, c)
+        yield i, mix(np.repeat(s, c) + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), np.concatenate(([0], ends))[o]
+
+
+def across(members: DataFrame, threshold: float, k: int, frequent: int = 1 << 16) -> DataFrame:
+    """Links a, b between members (id, root, text) of different classes, by an exact join of their multisets."""
+    table, total = set_join.word_ranks(members.select("text"), lambda batch: (t for _, t, _ in tokens(batch, 0, k)))
+    ranks = members.sparkSession.sparkContext.broadcast(table)
+    plan, buckets = set_join.Plan(threshold, frequent), max(16, total // 1_000_000)
+
+    def ordered(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for i, token, off in tokens(batch, column, k):
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            yield i, token[np.lexsort((token, ranks.value[set_join.slot(token)], row))], off
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                ids, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for i, token, off in ordered(batch, 2):
+                    some = slice(i, i + len(off) - 1)
+                    yield from set_join.postings(plan, ranks.value, buckets, token, off, ids[some], roots[some])
+
+        yield from set_join.packed(found())
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = byte_view(batch.column(1))
-            for i, j in blocks(off, 1 << 19):
-                s, c, o = multisets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                ends = np.cumsum(c)
-                nth = np.arange(c.sum()) - np.repeat(ends - c, c)
-                yield batch.column(0).slice(i, j - i), mix(np.repeat(s, c) + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), np.concatenate(([0], ends))[o]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, token, _ in tokens(batches):
-            slot, c = np.unique((token >> U64(64 - bits)).astype(np.int64), return_counts=True)
-            yield pa.record_batch([pa.array(slot), pa.array(c)], ["slot", "c"])
-
-    counted = texts.mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
-    common = np.ones(1 << bits, dtype=np.int32)
-    common[counted.column("slot").to_numpy()] = np.minimum(counted.column("c").to_numpy(), 2**31 - 1)
-    shared = texts.sparkSession.sparkContext.broadcast(common)
+            for i, token, off in ordered(batch, 1):
+                raw, o = token.tobytes(), (8 * off).tolist()
+                yield pa.record_batch([batch.column(0).slice(i, len(o) - 1), pa.array([raw[x:y] for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())], ["c1", "words"])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, token, off in tokens(batches):
-            n = np.diff(off)
-            row = np.repeat(np.arange(len(n)), n)
-            token = token[np.lexsort((token, shared.value[token >> U64(64 - bits)], row))]
-            at = np.arange(len(token)) - off[row]
-            take = np.flatnonzero(at <= (n - np.ceil(threshold * n - 1e-6))[row])
-            yield pa.record_batch([pa.array(token[take].view(np.int64)), own.take(pa.array(row[take])), pa.array(n[row[take]]), pa.array(at[take])], ["key", "id", "n", "at"])
+    def check(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        a, b = (pa.array(x) for x in set_join.links_of(group, plan, ranks.value, buckets))
+        return pa.table({"a": group.column("c1").take(a), "b": group.column("c1").take(b)})
 
-    return texts.mapInArrow(each, "key long, id long, n long, at long")
+    rows = members.select("id", "root", "text").mapInArrow(keyed, "bucket long, postings binary")
+    found = stash(set_join.candidates(rows, plan, set_join.CLASSED), "units")
+    units = found.where("tile is null").unionByName(stash(set_join.tiled(found.where("tile is not null"), plan, set_join.CLASSED), "tiled"))
+    asked = members.join(units.select(F.col("c1").alias("id")).distinct(), "id", "left_semi")
+    held = asked.select("id", "text").mapInArrow(words, "c1 long, words binary")
+    return units.select("gid", "at", "c1", "pairs").join(held, "c1").groupBy("gid").applyInArrow(check, "a long, b long")
 
 
-def verify(pairs: DataFrame, source: DataFrame, places: DataFrame, threshold: float, k: int, chunk: int = 128, weight: int = 500_000) -> DataFrame:
-    """The pairs whose whole texts have a multiset Jaccard similarity of at least the threshold. places: id, own, h of the texts in source.
+def verify(pairs: DataFrame, chosen: Callable[[DataFrame], DataFrame], threshold: float, k: int, chunk: int = 128, weight: int = 500_000) -> DataFrame:
+    """The pairs whose whole texts have a multiset Jaccard similarity of at least the threshold. chosen: adds the texts to a, part, id.
 
     Pairs are grouped by their first member, at most about `chunk` pairs or `weight` shingles to a group: a member with
     more is dealt out over several.
@@ -247,8 +253,7 @@ def verify(pairs: DataFrame, source: DataFrame, places: DataFrame, threshold: fl
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("n") / weight)).alias("parts")
     dealt = pairs.join(pairs.groupBy("a").agg(parts), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     sides = dealt.select("a", "part", F.col("b").alias("id")).unionByName(dealt.select("a", "part", F.col("a").alias("id")).distinct())
-    rows = texts_of(source, sides.join(places, "id"), "a", "part")
-    rows = rows.repartition("a", "part").dropDuplicates(["a", "part", "id"])  # rows equal in id and text are one
+    rows = chosen(sides).repartition("a", "part").dropDuplicates(["a", "part", "id"])  # rows equal in id and text are one
 
     def check(group: pa.Table) -> pa.Table:
         a = group.column("a")[0].as_py()
@@ -282,26 +287,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = reps.select("id", F.coalesce(F.col("name"), F.lit(-1 << 63)).alias("own"), "h")
     pairs, large = candidates(reps.select("id", "n", "keys"), threshold, all_pairs)
     pairs = stash(pairs, "pairs")
-    links = stash(verify(pairs, source, places, threshold, k), "links")
-    roots = components(links)
+    mark = F.lit(-1).cast("bigint")  # the members of large buckets come along, for later rounds
+    more = large.select("id").distinct().select(F.lit(0).cast("bigint").alias("a"), mark.alias("part"), "id")
+    held: list[DataFrame] = []
+
+    def first(sides: DataFrame) -> DataFrame:
+        held.append(stash(texts_of(source, sides.unionByName(more).join(places, "id"), "a", "part"), "texts"))
+        return held[0].where("part >= 0")
+
+    roots = components(stash(verify(pairs, first, threshold, k), "links"))
+    texts = held[0].where("part < 0").select("id", "text")
     still = stash(unsettled(large, roots), "still")
     if not still.isEmpty():
-        asked = still.select("id").distinct().join(places, "id")
-        held = stash(texts_of(source, asked, "own", "h").select(F.col("own").alias("id"), "h", "text").dropDuplicates(["id", "h"]), "held")
-        for last in (False, True):
-            if last:
-                close = stash(prefixes(texts_of(held, asked), threshold, k), "prefixes")
-                found = across(stash(unsettled(close, roots), "still"), threshold)
-            else:
-                found = centred(still)
-            more = stash(fitting(found, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
-            roots = extended(roots, stash(verify(more, held, places, threshold, k), "links"))
-            pairs = pairs.unionByName(more)
-            if not last:
-                still = stash(unsettled(still.select("key", "id", "n", "m"), roots), "still")
-                if still.isEmpty():
-                    break
-                asked = still.select("id").distinct().join(places, "id")
+        again = stash(fitting(centred(still), threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        roots = extended(roots, stash(verify(again, lambda sides: sides.join(texts, "id"), threshold, k), "links"))
+        ids = unsettled(still.select("key", "id", "n", "m"), roots).select("id", "root").distinct()
+        members = stash(texts.join(ids, "id").dropDuplicates(["id"]), "members")
+        if not members.isEmpty():
+            roots = extended(roots, stash(across(members, threshold, k), "links"))
     placed = reps.select("c1", "c2", "id", "name").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("name").isNull().alias("none"), "name", "id")).alias("best"))
     classes = placed.join(best, "root").select("c1", "c2", F.col("best.name").alias("class"), F.col("best.id").alias("stays"))
