@@ -5,9 +5,11 @@ which ids go on; level 1 holds the second chunk of those only, and so on. A rank
 turns a position of one level into its position in the next, so any token is read with a few lookups and no block is
 decoded.
 
-A store is a folder of Parquet files whose rows are segments: (part, seg, n_docs, n_tokens, image). An image is
+A store is a folder of Parquet files whose rows are segments: (part, seg, before, n_docs, n_tokens, image), before being
+the ids of the part ahead of the segment. An image is
 self-contained: magic "DAC1", the numbers of levels, ids and documents, the document directory (ids and starts in the
-segment), then the levels. Segments hold about `segment_tokens` ids; a document is never split over two. Parts follow
+segment), then the levels. Segments hold about `segment_tokens` ids; a document is never split over two, and one of more
+ids is a segment with what came before it. Parts follow
 the order of the document ids. Null text counts as empty, and an empty text still has its end id; rows that repeat an
 id follow each other, ordered by text; null ids come first; an empty table makes an empty store.
 """
@@ -29,7 +31,7 @@ from .encode import MemoEncoder, as_uint32
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
-SCHEMA = "part int, seg int, n_docs int, n_tokens long, image binary"
+SCHEMA = "part int, seg int, before long, n_docs int, n_tokens long, image binary"
 
 
 def pack(ids: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
@@ -110,7 +112,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
     """Encode the texts and write them to path in ascending order of the ids."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seg = MemoEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seg, before = MemoEncoder.of(tokenizer), TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         raws: list[bytes] = []
         size = 0
@@ -121,7 +123,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
             ids = np.frombuffer(b"".join(raws), "<u2")
             doc_ids = np.array([np.iinfo(np.int64).min if x is None else x for x in names], dtype=np.int64)
             image = pack(ids, doc_ids, np.cumsum(lengths) - lengths)
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(names)], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], ["part", "seg", "n_docs", "n_tokens", "image"])
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([before], pa.int64()), pa.array([len(names)], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], ["part", "seg", "before", "n_docs", "n_tokens", "image"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -132,7 +134,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
                 size += sum(map(len, new)) // 2
                 if size >= segment_tokens:
                     yield segment()
-                    names, raws, size, seg = [], [], 0, seg + 1
+                    names, raws, size, seg, before = [], [], 0, seg + 1, before + size
         if names:
             yield segment()
 
@@ -142,7 +144,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
 
 
 def part_starts(segments: DataFrame) -> dict[int, int]:
-    """Ids before each part: as many numbers as the store has parts."""
+    """Ids before each part: one number for each task that wrote the store, which is what the driver knows of tasks anyway."""
     out, total = {}, 0
     for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
         out[r.part] = total
@@ -154,22 +156,18 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a store: doc_id, start, n_tokens, ids_crc32."""
     segments = spark.read.schema(SCHEMA).parquet(path)
     starts = part_starts(segments)
-    sizes = {(r.part, r.seg): r.n_tokens for r in segments.select("part", "seg", "n_tokens").collect()}
-    before: dict[tuple[int, int], int] = {}
-    for part, seg in sorted(sizes):
-        before[part, seg] = before[part, seg - 1] + sizes[part, seg - 1] if seg else starts[part]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seg, image in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
-                s = Segment(image)
-                ids, base = s.all().astype("<u4"), before[part, seg]
+            for part, before, image in zip(*batch.columns, strict=True):
+                s = Segment(image.as_py())
+                ids, base = s.all().astype("<u4"), starts[part.as_py()] + before.as_py()
                 ends = np.append(s.starts[1:], s.n_tokens)
                 sums = [zlib.crc32(ids[a:b].data) for a, b in zip(s.starts.tolist(), ends.tolist(), strict=True)]
                 none = s.docs == np.iinfo(np.int64).min
                 yield pa.record_batch([pa.array(s.docs, pa.int64(), mask=none), pa.array(s.starts + base, pa.int64()), pa.array(ends - s.starts, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.select("part", "seg", "image").mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("part", "before", "image").mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
