@@ -6,8 +6,8 @@ populations that evolve apart, one task each, and pass their best individual on
 Crossover injects whole well-filled bins of one parent into the other, takes the bins that share a document out, and
 best-fits the displaced documents, longest first. The best individual of any island packs the group.
 
-Null text counts as empty (one end id); rows that repeat an id are packed each for itself; an empty table gives an empty
-result; other columns are ignored.
+Null text counts as empty (one end id); rows that repeat an id, or have none, are packed each for itself; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -171,8 +171,10 @@ def pack(items: DataFrame, capacity: int = 4096, group_items: int = 8192, island
         return one
 
     state = loose.select("grp", "row", "length").groupBy("grp").applyInArrow(start, STATE)
+    # little data, much work: left to itself the planner puts all islands into one task
+    tasks = min(groups * islands, max(2 * items.sparkSession.sparkContext.defaultParallelism, groups * islands // 16))
     for k in range(epochs):
-        state = state.groupBy("grp", "island").applyInArrow(epoch(k), STATE)
+        state = state.repartition(tasks, "grp", "island").groupBy("grp", "island").applyInArrow(epoch(k), STATE)
 
     def finish(rows: pa.Table, best: pa.Table) -> pa.Table:
         rows = rows.sort_by("row")
