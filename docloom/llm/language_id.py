@@ -5,10 +5,13 @@ word can be cut). The probability of a word sums over all its segmentations by a
 product over its words, so each distinct word of a block is worked out once. The piece probabilities come from
 expectation maximisation: expected counts of each piece over all segmentations of the training words.
 
-At most `max_docs` documents a language and `max_chars` characters of each train the model; every document is scored
-whole. Words are lower-cased runs of letters, digits and non-ASCII characters; one longer than 24 bytes is scored in
-parts of 24. Texts that are null or have no letter get `und` and score 0, as does everything where nothing could be
-learned. Ties go to the first language in order. Repeated rows are scored each for itself.
+At most `max_docs` documents of each language train the model, with their whole texts: those with the least hashes of id
+and text. Their words are counted by the executors; the driver gets the distinct ones. Every language of the rows that
+may be learned from is learned, and every piece of the vocabulary is used. Every document is scored whole. Words are
+lower-cased runs of letters, digits and non-ASCII characters; one longer than 28 bytes, as in writing without spaces, is
+learned and scored in parts of about 28, cut between characters, of which only the first begins a word. Texts that are null
+or have no letter get `und` and score 0, as does everything where nothing could be learned. Ties go to the first language
+in order. Repeated rows are scored each for itself; rows without an id train nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, blocks, byte_view, mix, prefix_hash, span_hash, word_spans
+from .common import _BYTE, U64, blocks, byte_view, mix, prefix_hash, span_hash, stash, word_spans
 from .toxicity import held_out
 
-WIDTH = 24
-LONGEST = 12
+WIDTH = 32
+#: Bytes of a part of a long word; with up to three more of a character it fits.
+STEP = WIDTH - 4
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -41,7 +45,7 @@ def vocabulary(path: str) -> list[bytes]:
     for i in range(sp.get_piece_size()):
         if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i)):
             piece = sp.id_to_piece(i).lower().replace("▁", "_").encode()
-            if 0 < len(piece) <= LONGEST:
+            if 0 < len(piece) <= WIDTH:
                 out.add(piece)
     return sorted(out)
 
@@ -52,7 +56,7 @@ class Lattice:
     def __init__(self, pieces: list[bytes]):
         hashes = np.array([self._hash(p) for p in pieces], dtype=U64)
         self.order = np.argsort(hashes)
-        self.hashes, self.n = hashes[self.order], len(pieces)
+        self.hashes, self.n, self.longest = hashes[self.order], len(pieces), max(map(len, pieces))
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -65,7 +69,7 @@ class Lattice:
         """(start, end, words' indexes, piece ids) in order of start. words: [n, WIDTH] bytes, sorted by falling length."""
         for start in range(int(lengths[0]) if len(lengths) else 0):
             h = np.zeros(len(words), dtype=U64)
-            for end in range(start + 1, min(start + LONGEST, int(lengths[0])) + 1):
+            for end in range(start + 1, min(start + self.longest, int(lengths[0])) + 1):
                 n = int(np.searchsorted(-lengths, -end, "right"))  # words of at least `end` bytes
                 h = (h[:n] + _BYTE[words[:n, end - 1]]) * _MULTIPLIER
                 m = mix(h)
@@ -75,13 +79,35 @@ class Lattice:
                     yield start, end, hit, self.order[at[hit]]
 
 
-def word_matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words as rows of WIDTH bytes behind an underscore at most, longest first is up to the caller."""
-    lengths = np.minimum(ends - starts + 1, WIDTH)
-    at = starts[:, None] + np.arange(WIDTH - 1)
-    out = np.full((len(starts), WIDTH), 95, dtype=np.uint8)
-    out[:, 1:] = _LOWER[data[np.minimum(at, len(data) - 1)]]
-    return out, lengths
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and ends of words, long ones in parts, and whether a part lies inside a word."""
+    starts, ends, first = word_spans(data, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    k = np.maximum(ends - starts - 1, 0) // STEP + 1
+    part = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    inner = part > 0
+    if inner.any():
+        row, final, starts = np.repeat(row, k), np.repeat(ends, k), np.repeat(starts, k) + part * STEP
+        for _ in range(3):  # back to the first byte of a character
+            starts = starts - (inner & (data[starts] & 0xC0 == 0x80))
+        ends = np.where(np.append(inner[1:], False), np.append(starts[1:], 0), final)
+    return row, starts, ends, inner
+
+
+def word_matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words as rows of WIDTH bytes, behind an underscore where they begin."""
+    lead = ~inner
+    at = np.clip((starts - lead)[:, None] + np.arange(WIDTH), 0, max(len(data) - 1, 0))
+    out = _LOWER[data[at]]
+    out[lead, 0] = 95
+    return out, ends - starts + lead
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each distinct word, the word of each place, and how often each occurs."""
+    h = span_hash(prefix_hash(data, lower=True), starts, ends) + inner.astype(U64)
+    _, at, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    return at, back, n
 
 
 class Model:
@@ -101,28 +127,20 @@ class Model:
         """Log probability of each word in each language."""
         out = np.zeros((len(words), len(self.languages)))
         order = np.argsort(-lengths, kind="stable")
-        for i in range(0, len(order), 20_000):
-            part = order[i : i + 20_000]
+        rows = max(500, 80_000 // max(1, len(self.languages)))
+        for i in range(0, len(order), rows):
+            part = order[i : i + rows]
             out[part] = np.log(np.maximum(forward(self.lattice, self.p, words[part], lengths[part])[0], 1e-300))
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log likelihood of each row in each language."""
-        starts, ends, first = word_spans(data, offsets)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        extra = np.maximum(ends - starts - 1, 0) // (WIDTH - 1)
-        if extra.any():  # long words in parts
-            k = extra + 1
-            part = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            row, last = np.repeat(row, k), np.repeat(ends, k)
-            starts = np.repeat(starts, k) + part * (WIDTH - 1)
-            ends = np.minimum(starts + WIDTH - 1, last)
+        row, starts, ends, inner = word_parts(data, offsets)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(starts):
             return out
-        h = span_hash(prefix_hash(data, lower=True), starts, ends)
-        _, at, back = np.unique(h, return_index=True, return_inverse=True)
-        each = self.words(*word_matrix(data, starts[at], ends[at]))
+        at, back, _ = distinct_words(data, starts, ends, inner)
+        each = self.words(*word_matrix(data, starts[at], ends[at], inner[at]))
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(row, each[back, k], len(out))
         return out
@@ -140,24 +158,19 @@ def forward(lattice: Lattice, p: np.ndarray, words: np.ndarray, lengths: np.ndar
     return alpha[lengths, np.arange(len(words))], alpha
 
 
-def fit(texts: dict[str, list[str]], pieces: list[bytes], rounds: int = 3, floor: float = 0.02) -> Model:
-    """Expectation maximisation for each language over the words of its texts."""
-    languages = sorted(texts)
+def fit(counted: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int = 3, floor: float = 0.02) -> Model:
+    """Expectation maximisation for each language over its words (an underscore before those that begin one) and their counts."""
+    languages = sorted(counted)
     lattice = Lattice(pieces)
     p = np.zeros((len(pieces), len(languages)))
     start = np.array([300.0 ** -1 / 4 ** max(0, 3 - len(x)) for x in pieces])
     for k, lang in enumerate(languages):
-        data, off = byte_view(pa.array(texts[lang], pa.string()))
-        data = data[: off[-1]]
-        starts, ends, _ = word_spans(data, off)
-        ends = np.minimum(ends, starts + WIDTH - 1)
-        if not len(starts):
+        found = sorted(counted[lang].items(), key=lambda x: (-len(x[0]), x[0]))  # longest first
+        lengths, n = np.array([len(w) for w, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.int64)
+        words = np.frombuffer(b"".join(w.ljust(WIDTH, b"\0") for w, _ in found), np.uint8).reshape(-1, WIDTH)
+        if not found:
             p[:, k] = start / start.sum()
             continue
-        _, at, n = np.unique(span_hash(prefix_hash(data, lower=True), starts, ends), return_index=True, return_counts=True)
-        words, lengths = word_matrix(data, starts[at], ends[at])
-        order = np.argsort(-lengths, kind="stable")
-        words, lengths, n = words[order], lengths[order], n[order]
         own = (start / start.sum())[:, None]
         for _ in range(rounds):
             count = np.full(len(pieces), floor)
@@ -176,17 +189,37 @@ def fit(texts: dict[str, list[str]], pieces: list[bytes], rounds: int = 3, floor
     return Model(languages, pieces, p)
 
 
-def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_chars: int = 6000) -> Model:
-    """Fit on documents with a language that are not held out: a bounded sample of each language by a hash of the id."""
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of rows (lang, text) with their numbers."""
+    for batch in batches:
+        data, off = byte_view(batch.column(1))
+        for i, j in blocks(off):
+            part = data[off[i] : off[j]]
+            row, starts, ends, inner = word_parts(part, off[i : j + 1] - off[i])
+            names, lang = np.unique(np.array(batch.column(0).slice(i, j - i).to_pylist(), dtype=object).astype(str), return_inverse=True)
+            for k, name in enumerate(names.tolist()):
+                own = np.flatnonzero(lang[row] == k)
+                if len(own):
+                    at, _, n = distinct_words(part, starts[own], ends[own], inner[own])
+                    words, lengths = word_matrix(part, starts[own][at], ends[own][at], inner[own][at])
+                    raw = words.tobytes()
+                    held = [raw[x : x + m] for x, m in zip(range(0, len(raw), WIDTH), lengths.tolist(), strict=True)]
+                    yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(held, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+
+
+def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400) -> Model:
+    """Fit on documents with a language that are not held out: a bounded sample of each language by a hash of id and text."""
     known = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(500).collect()}
-    texts: dict[str, list[str]] = {lang: [] for lang in counts}
-    if counts:
-        share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(1e6 * min(1.0, max_docs / n)))])[F.col("lang")]
-        sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("lang", "id", F.substring("text", 1, max_chars).alias("text"))
-        for r in sorted(sample.limit(2 * max_docs * len(counts)).collect(), key=lambda r: (r.id, r.text or "")):
-            texts[r.lang].append(r.text or "")
-    return fit(texts, vocabulary(vocabulary_path))
+    sizes = stash(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    place = F.xxhash64("id", "text")
+    share = F.pmod(place, F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * (1.3 * max_docs + 50))  # enough of them, and few to order
+    few = known.join(sizes, "lang").where(share).select("lang", "id", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id", "text"))
+    sample = few.withColumn("rank", rank).where(F.col("rank") <= max_docs).select("lang", "text")
+    counted: dict[str, dict[bytes, int]] = {r.lang: {} for r in sizes.collect()}
+    for r in sample.mapInArrow(count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+        counted[r.lang][bytes(r.word)] = r.n
+    return fit(counted, vocabulary(vocabulary_path))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
