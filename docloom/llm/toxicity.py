@@ -5,10 +5,11 @@ lower-cased words and their first four and five characters, hashed. A linear mod
 sentence a probability, 0 without any; a document is toxic with 1 - prod(1 - p). Training follows the gradient of the document likelihood, so that blame goes
 to the sentences that explain a label; locate() returns them.
 
-At most `max_docs` labelled documents and `max_chars` characters of each train the model (a documented bound on what
-comes to the driver); every document is scored whole. Null and empty texts have no sentence and get the score of an
-empty product, 0. Without any labelled document of both kinds, every score is 0. Repeated rows are scored each for
-itself; labels that contradict each other count as toxic.
+At most `max_docs` labelled documents train the model, with their whole texts: those with the least hashes of id and
+text (a documented bound on the rows that come to the driver). Every document is scored whole. Null and empty texts have
+no sentence and get the score of an empty product, 0. Without any labelled document of both kinds, every score is 0.
+Repeated rows are scored each for itself; labels that contradict each other count as toxic; rows without an id train
+nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, byte_view, mix, prefix_hash, span_hash, word_spans
+from .common import U64, blocks, byte_view, mix, prefix_hash, span_hash, stash, word_spans
 
 BITS = 20
 _BREAK = np.zeros(256, dtype=np.int64)
@@ -125,14 +126,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.3
     return Model(weights, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6000, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6000) -> Model:
     """Fit on labelled documents that are not held out: a bounded sample by a hash of the id."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
-    total = known.count()
-    part = min(1.0, max_docs / max(total, 1))
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(part * 1_000_000)))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, max_chars).alias("text"))
-    rows = source.join(F.broadcast(chosen), "id").limit(2 * max_docs).collect()  # chosen is bounded by max_docs
+    chosen = stash(known.orderBy(F.xxhash64("id"), "id").limit(max_docs), "labels")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # chosen has max_docs rows at most; where ids repeat, as many of their texts train
+    rows = source.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(max_docs).collect()
     rows.sort(key=lambda r: (r.id, r.text or ""))
     return fit([r.text or "" for r in rows], [int(r.y) for r in rows])
 
