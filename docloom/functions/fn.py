@@ -30,7 +30,14 @@ def _or_error(x: Column, message: str) -> Column:
 
 
 def _truthy(x: Column) -> Column:
-    return F.coalesce(x.cast("boolean"), F.lit(False))
+    """x as a boolean that is never null; a comparison of ours already is one, and stays bare for the optimizer."""
+    return x if vars(x).get("_definite") else F.coalesce(x.cast("boolean"), F.lit(False))
+
+
+def _definite(x: Column) -> Column:
+    """Marks a boolean column that is never null."""
+    x._definite = True
+    return x
 
 
 # --- arithmetic
@@ -280,15 +287,15 @@ def regex_find_all(input: Any, regex: Any, options: str = "") -> Column:
 
 
 def and_(*xs: Any) -> Column:
-    return fold(lambda a, b: a & b, [_truthy(c(x)) for x in xs], F.lit(True))
+    return _definite(fold(lambda a, b: a & b, [_truthy(c(x)) for x in xs], F.lit(True)))
 
 
 def or_(*xs: Any) -> Column:
-    return fold(lambda a, b: a | b, [_truthy(c(x)) for x in xs], F.lit(False))
+    return _definite(fold(lambda a, b: a | b, [_truthy(c(x)) for x in xs], F.lit(False)))
 
 
 def not_(x: Any) -> Column:
-    return ~_truthy(c(x))
+    return _definite(~_truthy(c(x)))
 
 
 def cmp(a: Any, b: Any) -> Column:
@@ -298,27 +305,32 @@ def cmp(a: Any, b: Any) -> Column:
 
 
 def eq(a: Any, b: Any) -> Column:
-    return c(a).eqNullSafe(c(b))
+    return _definite(c(a).eqNullSafe(c(b)))
 
 
 def ne(a: Any, b: Any) -> Column:
-    return ~c(a).eqNullSafe(c(b))
+    return _definite(~c(a).eqNullSafe(c(b)))
+
+
+# Comparisons with null lowest, never null themselves; with a literal they fold to a null check and a plain comparison.
 
 
 def gt(a: Any, b: Any) -> Column:
-    return cmp(a, b) > 0
+    x, y = c(a), c(b)
+    return _definite(x.isNotNull() & (y.isNull() | (x > y)))
 
 
 def gte(a: Any, b: Any) -> Column:
-    return cmp(a, b) >= 0
+    x, y = c(a), c(b)
+    return _definite(y.isNull() | (x.isNotNull() & (x >= y)))
 
 
 def lt(a: Any, b: Any) -> Column:
-    return cmp(a, b) < 0
+    return gt(b, a)
 
 
 def lte(a: Any, b: Any) -> Column:
-    return cmp(a, b) <= 0
+    return gte(b, a)
 
 
 def is_in(value: Any, array: Any) -> Column:

@@ -1,4 +1,8 @@
-"""The filter language: a document of conditions to a boolean column that is never null."""
+"""The filter language: a document of conditions to a boolean column.
+
+Null counts as false. Only where that is turned round (below a negation) or kept as a value is a condition wrapped; the
+conjuncts of a plain filter stay bare comparisons, which Spark hands to the source.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fn
-from ..functions.core import Fields, building, column, lit
+from ..functions.core import Fields, building, column, lit, type_of
 from .geo import geo_condition
 
 LOGIC = {"$and", "$or", "$nor", "$expr", "$text", "$jsonSchema", "$sampleRate", "$comment"}
@@ -80,7 +84,7 @@ def _inner(rest: list, kind: T.DataType, test: Any) -> Any:
 
 def _any(col: Column, kind: T.DataType, test: Any) -> Column:
     """test(value) for the value or, with an array, for any element."""
-    return _sure(F.exists(col, test)) if isinstance(kind, T.ArrayType) else _sure(test(col))
+    return F.exists(col, test) if isinstance(kind, T.ArrayType) else test(col)
 
 
 def _value(v: Any, kind: T.DataType) -> Column:
@@ -130,7 +134,7 @@ def _operator(name: str, v: Any, col: Column, kind: T.DataType, own: dict) -> Co
     if name == "$eq":
         return _equals(col, kind, v)
     if name == "$ne":
-        return ~_equals(col, kind, v)
+        return ~_sure(_equals(col, kind, v))
     if name in ("$in", "$nin"):
         plain = [x for x in v if x is not None and not isinstance(x, (re.Pattern, list, tuple, dict))]
         tests = [_equals(col, kind, x) for x in v if x is None or isinstance(x, (re.Pattern, list, tuple, dict))]
@@ -138,7 +142,7 @@ def _operator(name: str, v: Any, col: Column, kind: T.DataType, own: dict) -> Co
             values = [_value(x, element) for x in plain]
             tests.append(_any(col, kind, lambda x: x.isin(*values)))
         found = reduce(lambda a, b: a | b, tests, F.lit(False))
-        return found if name == "$in" else ~found
+        return found if name == "$in" else ~_sure(found)
     if name in ("$gt", "$gte", "$lt", "$lte"):
         w = _value(v, element)
         test = {"$gt": lambda x: x > w, "$gte": lambda x: x >= w, "$lt": lambda x: x < w, "$lte": lambda x: x <= w}[name]
@@ -210,12 +214,12 @@ def _document(spec: dict, root: Column | None, schema: T.DataType) -> Column:
         if key in ("$and", "$or", "$nor"):
             if not v:
                 raise FilterError(f"{key} needs a filter")
-            parts = [_sure(_document(x, root, schema)) for x in v]
-            out.append(_both(parts) if key == "$and" else reduce(lambda a, b: a | b, parts) if key == "$or" else ~reduce(lambda a, b: a | b, parts))
+            parts = [_document(x, root, schema) for x in v]
+            out.append(_both(parts) if key == "$and" else reduce(lambda a, b: a | b, parts) if key == "$or" else ~_sure(reduce(lambda a, b: a | b, parts)))
         elif key == "$expr":
             if not callable(v):
                 raise FilterError("$expr takes a function of the fields")
-            out.append(fn._truthy(fn.c(v(Fields()))))
+            out.append(_truth(v))
         elif key == "$comment":
             continue
         elif key == "$sampleRate":
@@ -280,14 +284,17 @@ def json_schema(spec: dict, root: Column | None, schema: T.DataType) -> Column:
     return _both(out)
 
 
-def compile_filter(df: DataFrame, spec: Any) -> Column:
-    """A filter document, a function of the fields, or a column, to a condition on df."""
+def _truth(spec: Any) -> Column:
+    """The condition that a function of the fields gives; a boolean one stays as it is."""
+    out = fn.c(spec(Fields()))
+    return out if isinstance(type_of(out), T.BooleanType) else fn._truthy(out)
+
+
+def compile_filter(df: DataFrame, spec: Any, as_value: bool = False) -> Column:
+    """A filter document, a function of the fields, or a column, to a condition on df; as_value: never null."""
     with building(df):
-        if isinstance(spec, Column):
-            return _sure(spec)
-        if callable(spec):
-            return fn._truthy(fn.c(spec(Fields())))
-        return _sure(_document(spec, None, df.schema))
+        out = spec if isinstance(spec, Column) else _truth(spec) if callable(spec) else _document(spec, None, df.schema)
+        return _sure(out) if as_value else out
 
 
 class Where:
