@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import fn
 from ..functions.core import REMOVE, Acc, Fields, Order, Remove, building, column, directions, evaluate, to_col, type_of
+from ..sources.scratch import stash
 from . import search as _search
 from . import series
 from .filters import compile_filter, near_order
@@ -430,7 +431,7 @@ class Pipeline:
         df = self.df
         if from_ is None:
             from_ = df.sparkSession.range(1).toDF("__one")
-        right = from_ if isinstance(from_, DataFrame) else literal_rows(df.sparkSession, from_)
+        right = literal_rows(df.sparkSession, from_) if isinstance(from_, list) else rows_of(from_)
         if local_field:
             sub = pipeline(Pipeline(right)) if pipeline and let is None else None
             own = sub.df if sub else right
@@ -462,10 +463,10 @@ class Pipeline:
         kind = df.select(local.alias("x")).schema[0].dataType
         empty = F.array().cast(T.ArrayType(T.StructType(schema.fields)))
         if isinstance(kind, T.ArrayType):  # any element may match
-            own = df.withColumn("__list", local)  # equal lists are looked up once
-            keys = own.where("__list is not null").select("__list").distinct().select("__list", F.explode(F.array_distinct("__list")).alias("__local"))
-            found = keys.join(rows, F.col("__local").eqNullSafe(F.col("__key"))).groupBy(F.col("__list").alias("__l")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__rows")))).alias("__rows"))
-            out = own.join(found, F.col("__list") == F.col("__l"), "left").drop("__list", "__l")
+            own = df.withColumn("__list", local).withColumn("__id", list_id("__list"))  # equal lists are looked up once
+            keys = own.where("__list is not null").select("__id", "__list").dropDuplicates(["__id"]).select("__id", F.explode(F.array_distinct("__list")).alias("__local"))
+            found = keys.join(rows, F.col("__local").eqNullSafe(F.col("__key"))).groupBy("__id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__rows")))).alias("__rows"))
+            out = own.join(found, "__id", "left").select(*(F.col(f"`{c}`") for c in df.columns), "__rows")
         else:
             out = df.withColumn("__local", local).join(rows, F.col("__local").eqNullSafe(F.col("__key")), "left").drop("__key", "__local")
         return out.withColumn("__rows", F.coalesce("__rows", empty)).withColumn(as_, F.col("__rows")).drop("__rows") if "." not in as_ else set_path(out.withColumn("__rows", F.coalesce("__rows", empty)), as_, F.col("__rows")).drop("__rows")
@@ -498,14 +499,23 @@ class Pipeline:
 
     def lookup_unwind(self, from_: DataFrame, local_field: str, foreign_field: str, as_: str, preserve_null_and_empty_arrays: bool = False) -> Pipeline:
         """lookup and unwind in one: a plain join, nothing is nested."""
+        from_ = rows_of(from_)
         right = from_.select(column(foreign_field).alias("__key"), F.struct(*(F.col(f"`{n}`") for n in from_.columns)).alias(as_))
         how = "left" if preserve_null_and_empty_arrays else "inner"
         out = self.df.join(right, column(local_field).eqNullSafe(F.col("__key")), how).drop("__key")
         return replace(self._next("lookup", out), stages=(*self.stages, "lookup", "unwind"))
 
+    def lookup_exists(self, from_: Any, local_field: str, foreign_field: str, missing: bool = False) -> Pipeline:
+        """The documents that have a match (a semi join), or none (missing: an anti join); null matches null, as in lookup."""
+        right = rows_of(from_).select(column(foreign_field).alias("__key"))
+        return self._next("lookup", self.df.join(right, column(local_field).eqNullSafe(F.col("__key")), "left_anti" if missing else "left_semi"))
+
     def graph_lookup(self, from_: DataFrame, start_with: Any, connect_from_field: str, connect_to_field: str, as_: str, max_depth: int | None = None, depth_field: str | None = None, restrict_search_with_match: Any = None) -> Pipeline:
-        """Nodes reachable from start_with, each once with its least depth. One join a level; cycles end by the visited set."""
-        df = self.df
+        """Nodes reachable from start_with, each once with its least depth. One join a level; cycles end by the visited set.
+
+        A level is narrow pairs of a start and a node, written and read back; documents are joined to them at the end.
+        """
+        df, from_ = self.df, rows_of(from_)
         edges = from_ if restrict_search_with_match is None else from_.where(compile_filter(from_, restrict_search_with_match))
         with building(df):
             own = df.withColumn("__start", to_col(self._eval(start_with)))
@@ -514,20 +524,20 @@ class Pipeline:
         front = starts.select(F.col("__start"), (F.explode("__start") if isinstance(kind, T.ArrayType) else F.col("__start")).alias("__at")).where("__at is not null")
         nodes = edges.select(column(connect_to_field).alias("__to"), column(connect_from_field).alias("__from"), F.struct(*(F.col(f"`{n}`") for n in edges.columns)).alias("__doc"))
         many = isinstance(nodes.schema["__from"].dataType, T.ArrayType)
-        nodes = nodes.persist()
+        links = nodes.where("__to is not null").select("__to", (F.explode("__from") if many else F.col("__from")).alias("__next")).distinct()
+        keys = nodes.where("__to is not null").select(F.col("__to").alias("__at")).distinct()
         seen, depth = None, 0
         while True:
-            found = front.join(nodes, F.col("__at") == F.col("__to")).select("__start", F.lit(depth).cast("bigint").alias("__depth"), "__to", "__from", "__doc")
-            found = found.dropDuplicates(["__start", "__to"])
+            found = front.join(keys, "__at", "left_semi").select("__start", F.lit(depth).cast("bigint").alias("__depth"), F.col("__at").alias("__to")).distinct()
             if seen is not None:
                 found = found.join(seen.select(F.col("__start").alias("__s"), F.col("__to").alias("__t")), F.col("__start").eqNullSafe(F.col("__s")) & (F.col("__to") == F.col("__t")), "left_anti")
-            found = found.persist()
+            found = stash(found, "level")
             if found.isEmpty():
                 break
-            seen = found if seen is None else seen.unionByName(found).persist()
+            seen = found if seen is None else seen.unionByName(found)
             if max_depth is not None and depth >= max_depth:
                 break
-            front = found.select("__start", (F.explode("__from") if many else F.col("__from")).alias("__at")).where("__at is not null").distinct()
+            front = found.join(links, "__to").where("__next is not null").select("__start", F.col("__next").alias("__at"))
             depth += 1
         doc_type = nodes.schema["__doc"].dataType
         doc = F.col("__doc").withField(depth_field, F.col("__depth")) if depth_field else F.col("__doc")
@@ -535,12 +545,13 @@ class Pipeline:
         empty = F.array().cast(T.ArrayType(element))
         if seen is None:
             return self._next("graphLookup", df.withColumn(as_, empty))
+        seen = seen.join(nodes.select("__to", "__doc"), "__to")
         rows = seen.groupBy(F.col("__start").alias("__s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__depth", doc.alias("d")))), lambda x: x["d"]).alias(as_))
         out = own.join(rows, F.col("__start").eqNullSafe(F.col("__s")), "left").drop("__s", "__start").withColumn(as_, F.coalesce(as_, empty))
         return self._next("graphLookup", out)
 
     def union_with(self, other: DataFrame | Pipeline | list, pipeline: Callable | None = None) -> Pipeline:
-        own = other.df if isinstance(other, Pipeline) else literal_rows(self.df.sparkSession, other) if isinstance(other, list) else other
+        own = literal_rows(self.df.sparkSession, other) if isinstance(other, list) else rows_of(other)
         if pipeline:
             own = pipeline(Pipeline(own)).df
         return self._next("unionWith", self.df.unionByName(own, allowMissingColumns=True), ())
@@ -732,6 +743,16 @@ class Pipeline:
         return self.df.select(*schema.fieldNames())
 
 
+def rows_of(source: Any) -> DataFrame:
+    """The rows of a frame, a pipeline, or a collection; a collection's come scoped by its own policies."""
+    return source if isinstance(source, DataFrame) else source.scoped() if hasattr(source, "scoped") else source.df
+
+
+def list_id(name: str) -> Column:
+    """Two 64-bit hashes of a list, in place of the list as a key."""
+    return F.struct(F.xxhash64(name).alias("a"), F.xxhash64(F.lit(7), F.col(name)).alias("b"))
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: Any = None) -> DataFrame:
     return spark.createDataFrame(rows, schema) if schema is not None or rows else spark.range(0).select(F.lit(None).cast("string").alias("_id"))
 

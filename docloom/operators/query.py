@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import fn
 from ..functions.core import building, column, directions
 from .filters import _document, _is_operators, compile_filter, near_order
-from .pipeline import Pipeline, include_paths
+from .pipeline import Pipeline, include_paths, list_id, rows_of
 from .search import text_score
 
 
@@ -123,6 +123,23 @@ class Query:
     def exists(self) -> bool:
         return not self._matching().isEmpty()
 
+    def exists_id(self, key: str = "_id") -> Any:
+        """The key of a matching row, or None."""
+        row = self._matching().select(F.col(f"`{key}`").alias("k")).limit(1).first()
+        return None if row is None else row["k"]
+
+    def parse(self, schema: T.StructType) -> DataFrame:
+        """The rows, which must have these columns and types."""
+        return Pipeline(self.df()).parse(schema)
+
+    expect = parse
+
+    def mask(self, rules: dict[str, Any]) -> DataFrame:
+        return Pipeline(self.df()).mask(rules)
+
+    def plain(self) -> DataFrame:
+        return Pipeline(self.df()).plain()
+
     def distinct(self, path: str) -> DataFrame:
         """Distinct values, arrays unwound."""
         df = self._matching().select(column(path).alias("value"))
@@ -211,6 +228,28 @@ def project(df: DataFrame, spec: Any) -> DataFrame:
     return out.withColumns(made) if made else out
 
 
+class Database:
+    """Collections by name; a joined collection is scoped by its own policies at any depth."""
+
+    def __init__(self, spark: SparkSession, collections: dict[str, Collection] | None = None):
+        self.spark, self.collections = spark, dict(collections or {})
+
+    def __getitem__(self, name: str) -> Collection:
+        return self.collections[name]
+
+    def aggregate(self, build: Callable[[Pipeline], Pipeline]) -> Pipeline:
+        """A pipeline that starts from no collection: its first stage makes the rows."""
+        return build(Pipeline.database(self.spark))
+
+
+class Client(Database):
+    """All databases of a session; aggregate() is for stages on the whole deployment."""
+
+    def database(self, name: str) -> Database:
+        rows = self.spark.catalog.listTables(name)
+        return Database(self.spark, {t.name: Collection(self.spark.table(f"`{name}`.`{t.name}`")) for t in rows})
+
+
 class Collection:
     """A named set of rows with its policies and declared references."""
 
@@ -242,6 +281,7 @@ def populate(df: DataFrame, path: str, target: DataFrame, key: str = "_id", sele
 
     A missing single reference becomes null; missing array elements go unless retain_null_values; order stays.
     """
+    target = rows_of(target)
     right = target if match is None else target.where(compile_filter(target, match))
     doc = F.struct(*(F.col(f"`{c}`") for c in (select or right.columns)))
     right = right.select(F.col(f"`{key}`").alias("__ref"), (transform(doc) if transform else doc).alias("__doc"))
@@ -249,17 +289,17 @@ def populate(df: DataFrame, path: str, target: DataFrame, key: str = "_id", sele
     if isinstance(kind, (T.ArrayType, T.MapType)):
         many = isinstance(kind, T.ArrayType)
         key_col = F.col(f"`{path}`") if many else F.array_sort(F.map_entries(F.col(f"`{path}`")))
-        own = df.withColumn("__key", key_col)  # equal lists are looked up once
-        lists = own.where("__key is not null").select("__key").distinct()
-        made = lists.select("__key", F.posexplode("__key").alias("__at", "__id"))
+        own = df.withColumn("__key", key_col).withColumn("__same", list_id("__key"))  # equal lists are looked up once
+        lists = own.where("__key is not null").select("__same", "__key").dropDuplicates(["__same"])
+        made = lists.select("__same", F.posexplode("__key").alias("__at", "__id"))
         ref = F.col("__id") if many else F.col("__id.value")
         found = made.join(right, ref == F.col("__ref"), "left" if retain_null_values else "inner")
         pair = F.struct("__at", F.col("__doc").alias("d"))
         rows = F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["d"]) if many else F.map_from_entries(F.collect_list(F.struct(F.col("__id.key").alias("key"), F.col("__doc").alias("value"))))
-        found = found.groupBy("__key").agg(rows.alias("__docs"))
+        found = found.groupBy("__same").agg(rows.alias("__docs"))
         kind = found.schema["__docs"].dataType
         empty = F.array().cast(kind) if many else F.create_map().cast(kind)
-        out = own.join(found.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left")
+        out = own.join(found, "__same", "left")
         return out.withColumn(path, F.when(F.col("__key").isNotNull(), F.coalesce("__docs", empty))).select(*df.columns)
     out = df.join(right, F.col(f"`{path}`") == F.col("__ref"), "left")
     if required:
@@ -271,6 +311,7 @@ def populate_by(df: DataFrame, path: str, kind_path: str, targets: dict[str, Dat
     """References whose target a column names: one join a target, the document as JSON."""
     out = df
     for i, (name, target) in enumerate(targets.items()):
+        target = rows_of(target)
         right = target.select(F.col(f"`{key}`").cast("string").alias(f"__r{i}"), F.to_json(F.struct(*target.columns)).alias(f"__d{i}"))
         out = out.join(right, (F.col(kind_path) == name) & (F.col(f"`{path}`").cast("string") == F.col(f"__r{i}")), "left").drop(f"__r{i}")
     docs = F.coalesce(*(F.col(f"__d{i}") for i in range(len(targets))))
@@ -279,6 +320,7 @@ def populate_by(df: DataFrame, path: str, kind_path: str, targets: dict[str, Dat
 
 def populate_virtual(df: DataFrame, as_: str, target: DataFrame, local: str, foreign: str, select: list[str] | None = None, match: Any = None, sort: Any = None, skip: int = 0, limit: int | None = None, per_document_limit: int | None = None, just_one: bool = False, count: bool = False) -> DataFrame:
     """Documents that refer back to each row; with a limit, the first of each row by the sort."""
+    target = rows_of(target)
     right = target if match is None else target.where(compile_filter(target, match))
     if count:
         n = right.groupBy(F.col(f"`{foreign}`").alias("__f")).agg(F.count(F.lit(1)).alias(as_))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -12,12 +11,16 @@ from pyspark.sql import types as T
 
 from ..functions import fn
 from ..functions.core import column
+from ..sources.scratch import stash
 
 #: Preferred-number series, in one decade (fixed values of the public standards; those of IEC 60063 and ISO 3).
 SERIES = {
     "R5": [10, 16, 25, 40, 63],
     "R10": [100, 125, 160, 200, 250, 315, 400, 500, 630, 800],
     "R20": [100, 112, 125, 140, 160, 180, 200, 224, 250, 280, 315, 355, 400, 450, 500, 560, 630, 710, 800, 900],
+    "R40": [100, 106, 112, 118, 125, 132, 140, 150, 160, 170, 180, 190, 200, 212, 224, 236, 250, 265, 280, 300, 315, 335, 355, 375, 400, 425, 450, 475, 500, 530, 560, 600, 630, 670, 710, 750, 800, 850, 900, 950],
+    "R80": [100, 103, 106, 109, 112, 115, 118, 122, 125, 128, 132, 136, 140, 145, 150, 155, 160, 165, 170, 175, 180, 185, 190, 195, 200, 206, 212, 218, 224, 230, 236, 243, 250, 258, 265, 272, 280, 290, 300, 307,
+            315, 325, 335, 345, 355, 365, 375, 387, 400, 412, 425, 437, 450, 462, 475, 487, 500, 515, 530, 545, 560, 580, 600, 615, 630, 650, 670, 690, 710, 730, 750, 775, 800, 825, 850, 875, 900, 925, 950, 975],
     "1-2-5": [10, 20, 50],
     "E6": [10, 15, 22, 33, 47, 68],
     "E12": [10, 12, 15, 18, 22, 27, 33, 39, 47, 56, 68, 82],
@@ -34,23 +37,23 @@ def series(name: str) -> list[float]:
         n = int(name[1:])
         out = [round(10 ** (i / n), 2) for i in range(n)]
         return [9.2 if x == 9.19 and n == 192 else x for x in out]
-    if name in ("R40", "R80"):
-        n = int(name[1:])
-        return [round(10 ** (i / n), 2) for i in range(n)]
     raise ValueError(f"unknown granularity {name!r}")
 
 
-def granular(value: float, name: str, up: bool) -> float:
+def granular(value: Column, name: str, up: bool) -> Column:
     """The next number of a series above (up) or below a bound, not equal to it."""
-    if value == 0:
-        return 0.0
+    v = value.cast("double")
     if name == "POWERSOF2":
-        e = math.log2(value)
-        return 2.0 ** (math.floor(e) + 1 if up else math.ceil(e) - 1)
-    own = series(name)
-    decade = math.floor(math.log10(value))
-    every = [x * 10.0**d for d in range(decade - 1, decade + 2) for x in own]
-    return min(x for x in every if x > value * (1 + 1e-12)) if up else max(x for x in every if x < value * (1 - 1e-12))
+        e = F.log2(v)
+        near = F.round(e)
+        e = F.when(F.abs(e - near) < 1e-9, near).otherwise(e)
+        out = F.pow(F.lit(2.0), F.floor(e) + 1 if up else F.ceil(e) - 1)
+    else:
+        decade = F.pow(F.lit(10.0), F.floor(F.log10(v)))
+        own = F.array(*(F.lit(x * scale) for scale in (0.1, 1.0, 10.0) for x in series(name)))
+        every = F.transform(own, lambda x: F.round(x * decade, 12))
+        out = F.array_min(F.filter(every, lambda x: x > v * (1 + 1e-12))) if up else F.array_max(F.filter(every, lambda x: x < v * (1 - 1e-12)))
+    return F.when(v == 0, F.lit(0.0)).otherwise(out)
 
 
 def bucket_auto(df: DataFrame, key: Column, buckets: int, output: dict[str, Column], granularity: str | None = None) -> DataFrame:
@@ -60,9 +63,9 @@ def bucket_auto(df: DataFrame, key: Column, buckets: int, output: dict[str, Colu
     """
     own = df.withColumn("__key", key)
     counts = own.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
-    spread = counts.repartitionByRange("__key").withColumn("__p", F.spark_partition_id())
+    spread = stash(counts.repartitionByRange("__key").withColumn("__p", F.spark_partition_id()), "ranges")  # both sides read the same numbers
     before = spread.groupBy("__p").agg(F.sum("__n").alias("__m")).withColumn("__from", F.coalesce(F.sum("__m").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    total = counts.agg(F.sum("__n").alias("__total"))
+    total = spread.agg(F.sum("__n").alias("__total"))
     w = W.partitionBy("__p").orderBy("__key").rowsBetween(W.unboundedPreceding, -1)
     at = spread.join(F.broadcast(before.select("__p", "__from")), "__p").crossJoin(F.broadcast(total))  # one row a partition, one row
     at = at.withColumn("__before", F.col("__from") + F.coalesce(F.sum("__n").over(w), F.lit(0)))
@@ -75,11 +78,9 @@ def bucket_auto(df: DataFrame, key: Column, buckets: int, output: dict[str, Colu
     out = out.withColumn("__high", high)
     low, high = F.col("__min"), F.col("__high")
     if granularity:
-        up = F.udf(lambda x: None if x is None else granular(float(x), granularity, True), "double")  # `buckets` rows
-        down = F.udf(lambda x: None if x is None else granular(float(x), granularity, False), "double")
-        high = F.coalesce(F.lead(up("__min")).over(w), up("__max"))
-        first = F.row_number().over(w) == 1
-        low, high = F.when(first, down("__min")).otherwise(up("__min")), high
+        up, low = granular(F.col("__min"), granularity, True), granular(F.col("__min"), granularity, False)
+        high = F.coalesce(F.lead(up).over(w), granular(F.col("__max"), granularity, True))
+        low = F.when(F.row_number().over(w) == 1, low).otherwise(up)
     return out.select(F.struct(low.alias("min"), high.alias("max")).alias("_id"), *output, "__bucket").orderBy("__bucket").drop("__bucket")
 
 

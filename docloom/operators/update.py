@@ -191,9 +191,9 @@ class Writer:
         self.df, self.key = df, key
 
     def _cond(self, spec: Any) -> Column:
-        if spec == {}:
+        if isinstance(spec, dict) and not spec:
             raise UpdateError("an empty filter is refused; say Filters.all()")
-        return compile_filter(self.df, spec)
+        return compile_filter(self.df, spec, as_value=True)
 
     def _upsert(self, spec: dict, update: Any, after: DataFrame) -> DataFrame:
         if not self.df.where(self._cond(spec)).isEmpty():
@@ -234,24 +234,53 @@ class Writer:
         ids = self.df.where(hit).select(self.key)
         return (out.join(ids, self.key, "left_semi") if after else self.df.where(hit)), out
 
-    def bulk_write(self, commands: list[dict]) -> DataFrame:
-        """insertOne, updateOne, updateMany, replaceOne, deleteOne, deleteMany, in order."""
+    def find_one_and_replace(self, spec: Any, document: dict, after: bool = False) -> tuple[DataFrame, DataFrame]:
+        hit = first_match(self.df, self._cond(spec), self.key)
+        out = self.replace_one(spec, document)
+        return (out.join(self.df.where(hit).select(self.key), self.key, "left_semi") if after else self.df.where(hit)), out
+
+    def find_one_and_delete(self, spec: Any) -> tuple[DataFrame, DataFrame]:
+        hit = first_match(self.df, self._cond(spec), self.key)
+        return self.df.where(hit), self.df.where(~hit)
+
+    def create(self, documents: list[dict]) -> DataFrame:
+        """The frame with new documents; a missing field is null, an unknown one an error."""
+        for d in documents:
+            if set(d) - set(self.df.columns):
+                raise UpdateError(f"unknown fields {sorted(set(d) - set(self.df.columns))}")
+        names = self.df.columns
+        rows = self.df.sparkSession.createDataFrame([tuple(d.get(n) for n in names) for d in documents], self.df.schema)
+        return self.insert_many(rows)
+
+    def bulk_save(self, documents: list[dict]) -> DataFrame:
+        """Documents take the place of those with the same key, or are added."""
+        names = self.df.columns
+        rows = self.df.sparkSession.createDataFrame([tuple(d.get(n) for n in names) for d in documents], self.df.schema)
+        return self.df.join(rows.select(self.key), self.key, "left_anti").select(*names).unionByName(rows)
+
+    def bulk_write(self, commands: list[dict], ordered: bool = True) -> DataFrame:
+        """insertOne, updateOne, updateMany, replaceOne, deleteOne, deleteMany, in order. Unordered: a refused command doesn't stop the others."""
         df = self.df
         for command in commands:
-            (name, own), = command.items()
-            w = Writer(df, self.key)
-            if name == "insertOne":
-                df = w.insert_many(df.sparkSession.createDataFrame([own["document"]], df.schema))
-            elif name in ("updateOne", "updateMany"):
-                run = w.update_one if name == "updateOne" else w.update_many
-                df = run(own["filter"], own["update"], own.get("arrayFilters", ()), own.get("upsert", False))
-            elif name == "replaceOne":
-                df = w.replace_one(own["filter"], own["replacement"])
-            elif name in ("deleteOne", "deleteMany"):
-                df = (w.delete_one if name == "deleteOne" else w.delete_many)(own["filter"])
-            else:
-                raise UpdateError(f"unknown command {name!r}")
+            try:
+                df = Writer(df, self.key)._run(command)
+            except UpdateError:
+                if ordered:
+                    raise
         return df
 
+    def _run(self, command: dict) -> DataFrame:
+        (name, own), = command.items()
+        if name == "insertOne":
+            return self.insert_many(self.df.sparkSession.createDataFrame([own["document"]], self.df.schema))
+        if name in ("updateOne", "updateMany"):
+            run = self.update_one if name == "updateOne" else self.update_many
+            return run(own["filter"], own["update"], own.get("arrayFilters", ()), own.get("upsert", False))
+        if name == "replaceOne":
+            return self.replace_one(own["filter"], own["replacement"])
+        if name in ("deleteOne", "deleteMany"):
+            return (self.delete_one if name == "deleteOne" else self.delete_many)(own["filter"])
+        raise UpdateError(f"unknown command {name!r}")
+
 
 __all__ = ["REMOVE", "UpdateError", "W", "Writer", "apply_update", "first_match"]

@@ -23,12 +23,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_collection(df: DataFrame, path: str, format: str = "parquet") -> DataFrame:
-    """Writes df to a new folder beside path, then takes path's place."""
-    spark, fresh = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    """Writes df to a new folder beside path, then takes path's place: the old folder is renamed first and deleted last."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}.{mark}", f"{path.rstrip('/')}.{mark}.old"
     df.write.format(format).save(fresh)
     fs, p = _fs(spark, path)
-    fs.delete(p, True)
-    fs.rename(_fs(spark, fresh)[1], p)
+    had = fs.exists(p)
+    if had:
+        fs.rename(p, _fs(spark, old)[1])
+    if not fs.rename(_fs(spark, fresh)[1], p):
+        if had:
+            fs.rename(_fs(spark, old)[1], p)
+        raise OSError(f"can't put {fresh} in the place of {path}")
+    if had:
+        fs.delete(_fs(spark, old)[1], True)
     spark.catalog.refreshByPath(path)
     return spark.read.format(format).load(path)
 
@@ -104,11 +112,27 @@ class View:
     def drop(self, spark: SparkSession) -> None:
         spark.catalog.dropTempView(self.name)
 
+    def query(self, spark: SparkSession, spec: Any = None) -> Any:
+        """A find query over the view's rows: where, select, sort, count, distinct, ..."""
+        from ..operators.query import Query
+
+        out = Query(self.build(spark).df)
+        return out if spec is None else out.where(spec)
+
     def find(self, spark: SparkSession, spec: Any = None) -> DataFrame:
-        from ..operators.filters import compile_filter
+        return self.query(spark, spec).df()
 
-        df = self.build(spark).df
-        return df if spec is None else df.where(compile_filter(df, spec))
+    def find_one(self, spark: SparkSession, spec: Any = None) -> DataFrame:
+        return self.query(spark, spec).limit(1).df()
+
+    def count(self, spark: SparkSession, spec: Any = None) -> int:
+        return self.query(spark, spec).count()
+
+    def distinct(self, spark: SparkSession, path: str, spec: Any = None) -> DataFrame:
+        return self.query(spark, spec).distinct(path)
+
+    def aggregate(self, spark: SparkSession, build: Callable[[Any], Any]) -> Any:
+        return build(self.build(spark))
 
 
 class Materialized:
