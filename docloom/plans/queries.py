@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,6 +15,7 @@ from ..operators.pipeline import Pipeline
 from ..operators.query import Collection, Policies, populate, populate_virtual
 from ..operators.update import Writer
 from ..sources.collections import merged
+from ..sources.scratch import scratch_path
 from ..streaming.change_log import log_schema, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -449,19 +449,15 @@ def window_covariance(s, d):
     return p.project(lambda f: {"event_id": 1, "a": _r(f.a, 2), "b": _r(f.b, 2)}).df
 
 
-_DAYS = "(select event_type, date_trunc('day', ts) d, round(sum(value), 2) total from events where user_id % 50 = 1 group by all)"
+_DAYS = "(select user_id, date_trunc('day', ts) d, round(sum(value), 2) total from events group by all)"
 
 
-def _days(s, d):
-    p = _t(s, d, "events").match({"user_id": {"$mod": [50, 1]}})
-    p = p.group(lambda f: {"_id": {"t": f.event_type, "day": fn.date_trunc(f.ts, "day")}, "total": fn.sum(f.value)})
-    return p.project(lambda f: {"_id": 0, "event_type": f["_id.t"], "d": f["_id.day"], "total": _r(f.total, 2)})
-
-
-@query(f"""with h as {_DAYS}, t as (select event_type, min(d) a, max(d) b from h group by 1), r as (select event_type, unnest(generate_series(a, b, interval 1 day)) d from t)
- select r.event_type, r.d, coalesce(h.total, -1) total from r left join h on h.event_type = r.event_type and h.d = r.d""")
+@query(f"""with h as {_DAYS}, t as (select user_id, min(d) a, max(d) b from h group by 1), r as (select user_id, unnest(generate_series(a, b, interval 1 day)) d from t)
+ select r.user_id, r.d, coalesce(h.total, -1) total from r left join h on h.user_id = r.user_id and h.d = r.d""")
 def densify_days(s, d):
-    return _days(s, d).densify("d", 1, "day", "partition", ["event_type"]).fill({"total": {"value": -1.0}}).df
+    p = _t(s, d, "events").group(lambda f: {"_id": {"u": f.user_id, "day": fn.date_trunc(f.ts, "day")}, "total": fn.sum(f.value)})
+    p = p.project(lambda f: {"_id": 0, "user_id": f["_id.u"], "d": f["_id.day"], "total": _r(f.total, 2)})
+    return p.densify("d", 1, "day", "partition", ["user_id"]).fill({"total": {"value": -1.0}}).df
 
 
 _HOURS = "(select event_type, date_trunc('hour', ts) d, round(sum(value), 2) total from events group by all)"
@@ -534,18 +530,9 @@ def lookup_top_k(s, d):
     return p.project(lambda f: {"c_custkey": 1, "ids": F.nullif(F.array_join(f["o.o_orderkey"].cast("array<string>"), ","), F.lit(""))}).df
 
 
-@query("""with recursive g as (select c_custkey k, c_custkey // 3 up, 0 depth from customer where c_custkey < 200 union all select k, up // 3, depth + 1 from g where up > 0 and depth < 9)
- select k, count(*) n, max(depth)::bigint deepest from g where up > 0 and up in (select c_custkey from customer) group by 1""")
-def graph_lookup(s, d):
-    edges = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("_id"), F.floor(F.col("c_custkey") / 3).cast("bigint").alias("boss"))
-    p = Pipeline(edges.where("_id < 200")).graph_lookup(edges.where("_id > 0"), lambda f: f.boss, "boss", "_id", "up", depth_field="depth")
-    p = p.match(lambda f: fn.gt(fn.size(f.up), 0))
-    return p.project(lambda f: {"_id": 0, "k": f["_id"], "n": fn.size(f.up).cast("bigint"), "deepest": F.array_max(f["up.depth"])}).df
-
-
 @query("""with recursive g as (select c_custkey k, c_custkey // 3 up, 0 depth from customer union all select k, up // 3, depth + 1 from g join customer on c_custkey = up where up > 0)
  select k, count(*) n, max(depth)::bigint deepest from g where up > 0 and up in (select c_custkey from customer) group by 1""")
-def graph_lookup_all(s, d):
+def graph_lookup(s, d):
     edges = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("_id"), F.floor(F.col("c_custkey") / 3).cast("bigint").alias("boss"))
     p = Pipeline(edges).graph_lookup(edges.where("_id > 0"), lambda f: f.boss, "boss", "_id", "up", depth_field="depth")
     p = p.match(lambda f: fn.gt(fn.size(f.up), 0))
@@ -848,14 +835,13 @@ def j_pipeline15(s, d):
     return p.sort({"y": 1, "r": 1, "brand": 1}).df
 
 
-@query()
+@query("select o_orderkey as _id, 'o_orderstatus' updated from orders where o_orderkey % 5 = 0 and o_orderstatus <> 'X'")
 def stream_watch(s, d):
     """Events of a change log, read as a stream to its end."""
     docs = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("_id"), "o_orderstatus", "o_totalprice")
     now = F.struct(*docs.columns)
     inserts = docs.select(F.lit("insert").alias("op"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("_id").alias("key"), F.lit(None).cast(docs.select(now.alias("x")).schema[0].dataType).alias("before"), now.alias("after"))
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/change-log-{s.sparkContext.startTime}-{id(docs)}"
+    path = scratch_path(s, "change-log")
     changed = docs.where("_id % 5 = 0").select(F.lit("update").alias("op"), F.lit("2024-01-02").cast("timestamp").alias("ts"), F.col("_id").alias("key"), now.alias("before"), F.struct(F.col("_id"), F.lit("X").alias("o_orderstatus"), F.col("o_totalprice")).alias("after"))
     inserts.unionByName(changed).write.mode("overwrite").parquet(f"{path}/log")
     events = watch(s, f"{path}/log", docs.schema, build=lambda p: p.match({"operationType": "update"}).project(lambda f: {"documentKey": 1, "updateDescription": 1}))

@@ -12,7 +12,7 @@ from docloom.operators.pipeline import Pipeline, PipelineError
 from docloom.operators.query import Collection, Policies, populate, populate_by, populate_virtual
 from docloom.operators.series import granular
 from docloom.operators.update import UpdateError, Writer
-from docloom.sources.collections import Materialized, View, merged
+from docloom.sources.collections import Materialized, View, merged, replace_collection
 from docloom.streaming.change_log import apply_changes, log_schema
 
 ORDERS = [
@@ -59,7 +59,9 @@ def test_buckets(orders):
         orders.bucket(lambda f: f.total, [0, 20]).df.collect()
     auto = orders.bucket_auto(lambda f: f.total, 2, granularity="R5").df.collect()
     assert auto[0]["_id"]["min"] == 10.0 and auto[-1]["_id"]["max"] == 40.0
-    assert (granular(8, "POWERSOF2", True), granular(8, "POWERSOF2", False), granular(7, "1-2-5", True)) == (16.0, 4.0, 10.0)
+    of = lambda v, name, up=True: orders.df.limit(1).select(granular(F.lit(v), name, up).alias("x")).first().x
+    assert (of(8, "POWERSOF2"), of(8, "POWERSOF2", False), of(7, "1-2-5"), of(0, "R5")) == (16.0, 4.0, 10.0, 0.0)
+    assert [of(v, "R40") for v in (1.12, 1.18, 1.25, 1.32, 1.5)] == [1.18, 1.25, 1.32, 1.4, 1.6] and of(38.0, "R80") == 38.7
 
 
 def test_windows(orders):
@@ -194,3 +196,56 @@ def test_change_log(spark):
     assert sorted((r._id, r.v) for r in apply_changes(docs, log).collect()) == [("a", 5), ("c", 7)]
     events = Pipeline(log).change_stream(full_document_before_change="required").df.where("operationType = 'update'").first()
     assert events.updateDescription.updatedFields == ["v"] and events.fullDocumentBeforeChange.v == 1
+
+
+def pushed(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "".join(x.split("]")[0] for x in plan.split("PushedFilters: [")[1:])
+
+
+def test_conjuncts_reach_the_source(spark):
+    """Ranges, lists, equality and expressions at the top of a match are handed to Parquet."""
+    p = Pipeline.read(spark, "/root/testdata/sf0.001/lineitem.parquet")
+    for spec, wanted in (({"l_quantity": {"$gt": 3, "$lte": 7}}, ["GreaterThan(l_quantity,3.0)", "LessThanOrEqual(l_quantity,7.0)"]), ({"l_quantity": {"$gte": 3}}, ["GreaterThanOrEqual"]), ({"l_quantity": {"$lt": 3}}, ["LessThan"]), ({"l_linenumber": {"$in": [1, 2]}}, ["In(l_linenumber, [1,2"]), ({"$or": [{"l_quantity": {"$lt": 3}}, {"l_tax": {"$gt": 0.01}}]}, ["Or(LessThan"]), (lambda f: fn.and_(fn.gt(f.l_quantity, 3), fn.lt(f.l_tax, 0.02)), ["GreaterThan(l_quantity,3.0)", "LessThan(l_tax,0.02)"])):
+        got = pushed(p.match(spec).df)
+        assert all(w in got for w in wanted), (spec, got)
+
+
+def test_conditions_as_values_are_never_null(orders):
+    for spec in ({"discount": {"$gt": 0}}, {"discount": {"$in": [0.1]}}, lambda f: f.discount > 0):
+        got = orders.df.select(compile_filter(orders.df, spec, as_value=True).alias("x")).collect()
+        assert sorted(r.x for r in got) == [False, False, True]
+
+
+def test_joined_collections_are_scoped(orders, spark):
+    people = Collection(spark.createDataFrame([("ann", None, "t1", 1), ("bob", "2024", "t1", 2), ("cid", None, "t2", 3)], "_id string, gone string, tenant string, pin int"), policies=Policies(hidden=("pin",), deleted_at="gone", tenant=("tenant", "t1")))
+    seen = {r._id: [x.asDict() for x in r.who] for r in orders.lookup("who", people, "customer", "_id").df.collect()}
+    assert seen == {"1": [{"_id": "ann", "gone": None, "tenant": "t1"}], "2": [{"_id": "ann", "gone": None, "tenant": "t1"}], "3": []}
+    assert [r._id for r in orders.project({"_id": 1}).union_with(people).match({"tenant": "t1"}).df.collect()] == ["ann"]
+    assert populate(orders.df, "customer", people).where("customer is not null").count() == 2
+    assert populate_virtual(people.raw, "o", Collection(orders.df, policies=Policies(tenant=("status", "open"))), "_id", "customer", count=True).where("o > 0").count() == 1
+
+
+def test_graph_lookup_over_repeated_nodes(spark):
+    """Several documents under one node all come; null starts reach nothing; a depth bound ends the walk."""
+    staff = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("b", "d", 3), ("c", None, 4), ("d", "a", 5)], "name string, up string, n int")
+    walk = lambda **o: Pipeline(staff.where("name = 'a'")).graph_lookup(staff, lambda f: f.up, "up", "name", "chain", depth_field="d", **o).df.first().chain
+    assert sorted((x.n, x.d) for x in walk()) == [(1, 2), (2, 0), (3, 0), (4, 1), (5, 1)]
+    assert sorted(x.n for x in walk(max_depth=0)) == [2, 3]
+    assert Pipeline(staff.where("name = 'c'")).graph_lookup(staff, lambda f: f.up, "up", "name", "chain").df.first().chain == []
+
+
+def test_equal_lists_and_null_lists(spark):
+    own = spark.createDataFrame([(1, [1, 2]), (2, [1, 2]), (3, [2, 1]), (4, []), (5, None)], "k int, ids array<int>")
+    names = spark.createDataFrame([(1, "x"), (2, "y")], "_id int, name string")
+    got = {r.k: r.ids and [x.name for x in r.ids] for r in populate(own, "ids", names).collect()}
+    assert got == {1: ["x", "y"], 2: ["x", "y"], 3: ["y", "x"], 4: [], 5: None}
+
+
+def test_a_write_that_fails_keeps_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    replace_collection(spark.range(3).toDF("_id"), path)
+    with pytest.raises(Exception, match="broken"):
+        replace_collection(spark.range(2).select(F.raise_error(F.lit("broken")).alias("_id")), path)
+    assert spark.read.parquet(path).count() == 3
+    assert replace_collection(spark.range(5).toDF("_id"), path).count() == 5
