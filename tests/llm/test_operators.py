@@ -436,14 +436,17 @@ def test_store_of_null_and_repeated_ids(spark):
 def test_held_out_languages_and_toxicity(spark):
     """Accuracy and area under the curve on rows that trained nothing."""
     sf = "/root/testdata/sf0.01"
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = language_id.identify(docs, language_id.train(docs, public_tokenizers.path("piece_bpe_32k.model")))
     rows = found.join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out and toxic is not null").collect()
     good, bad = ([r.score for r in scored if r.toxic == y] for y in (0, 1))
     assert len(good) and len(bad)
-    assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad)) > 0.9
+    area = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad))
+    print(f"area under the curve {area:.4f} over {len(bad)} toxic and {len(good)} clean documents")
+    assert area > 0.95
 
 
 def test_toxic_sentence_late_in_a_long_text(spark):
@@ -463,7 +466,7 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
     sf = str(tmp_path)
-    base = " ".join(f"w{i}" for i in range(60))
+    base = " ".join(f"v{i}" for i in range(60))
     rows = [(1, base), (1, base), (1, "unlike the rest of them"), (None, base + " z"), (None, "alone without an id"), (None, None), (2, ""), (3, BENCHMARK[0][1]), (4, "hold out")]
     spark.createDataFrame([(d, t, "en", "s", 5, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame(BENCHMARK, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
