@@ -134,7 +134,7 @@ def asked_words(units: DataFrame, sets: DataFrame, docs: DataFrame, ranks) -> Da
     own = F.coalesce(F.col("id"), F.lit(-1 << 63)).alias("own")
     lines = asked.select(F.col("source.id").alias("id"), F.col("source.rid").alias("rid"), F.struct(F.col("source.line").alias("line"), "c1", "first").alias("line"))
     lines = lines.groupBy(own, "rid").agg(F.collect_list("line").alias("lines"))
-    texts = docs.select(own, "rid", "text").join(lines, ["own", "rid"]).select("text", "lines")
+    texts = docs.select(own, "rid", "text").hint("merge").join(lines, ["own", "rid"]).select("text", "lines")  # one plan at every size
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +178,7 @@ def verified(units: DataFrame, words: DataFrame, plan: Plan, ranks, buckets: int
         a, b = (pa.array(x) for x in links_of(group, plan, ranks.value, buckets))
         return pa.table({"a": group.column("c1").take(a), "b": group.column("c1").take(b)})
 
-    rows = units.select("gid", "at", "c1", "pairs").join(words, "c1").groupBy("gid")
+    rows = units.select("gid", "at", "c1", "pairs").hint("merge").join(words, "c1").groupBy("gid")
     return rows.applyInArrow(sums, "c1 long, links long, other struct<id:long,line:long>"), rows.applyInArrow(pairs, "a long, b long")
 
 
@@ -188,7 +188,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("rid"))
     table, total = word_ranks(source.select("text"), _text_words)
     ranks = docs.sparkSession.sparkContext.broadcast(table)
-    plan, buckets = Plan(threshold, frequent), max(16, total // 1_000_000)
+    plan, buckets = Plan(threshold, frequent), max(16, total // 4_000_000)
     lines = stash(profile(source, ranks), "lines")
     place = F.struct("id", "line")
     sets = stash(lines.where("n > 0").groupBy("c1").agg(F.min(place).alias("first"), F.min(F.struct("id", "line", "rid")).alias("source")), "sets")

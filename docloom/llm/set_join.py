@@ -213,7 +213,7 @@ def _unit(gid: int, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"gid": pa.array(np.full(n, gid)), "c1": pa.array(names), "at": pa.array(np.arange(n, dtype=np.int32)), "pairs": pa.array([raw] + [None] * (n - 1), pa.binary()), "tile": pa.nulls(n, pa.binary())})
 
 
-def candidates(rows: DataFrame, plan: Plan, kind: np.dtype = POSTING, tile: int = 2048, unit_words: int = 1_600_000, chunk: int = 1 << 21) -> DataFrame:
+def candidates(rows: DataFrame, plan: Plan, kind: np.dtype = POSTING, tile: int = 2048, unit_words: int = 6_400_000, chunk: int = 1 << 21) -> DataFrame:
     """Units: rows (gid, at, c1) of their members, the first with all pairs; and tiles, rows with a part of a long list."""
     classed = "root" in kind.names
 
