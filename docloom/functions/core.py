@@ -39,10 +39,12 @@ REMOVE = Remove()
 class Acc:
     """An accumulator: an aggregate that may depend on the order of rows, with an expression form where there is one.
 
-    over(order) builds the aggregate column; framed(window) the window column.
+    over(order) builds the aggregate column; framed(window) the window column. first: steps of helper columns that
+    framed reads, each a function of (order, partition, prefix of their names) to columns by name.
     """
 
-    def __init__(self, over: Callable[[Order], Column] | None, expr: Callable[[], Column] | None = None, framed: Callable[..., Column] | None = None, *, needs_sort: bool = False, single_key: bool = False, needs_frame: bool = False, ranked: bool = False):
+    def __init__(self, over: Callable[[Order], Column] | None, expr: Callable[[], Column] | None = None, framed: Callable[..., Column] | None = None, *, needs_sort: bool = False, single_key: bool = False, needs_frame: bool = False, ranked: bool = False, first: Iterable[Callable[..., dict[str, Column]]] = ()):
+        self.first = tuple(first)
         self.over, self.expr, self.framed = over, expr, framed
         self.needs_sort, self.single_key, self.needs_frame, self.ranked = needs_sort, single_key, needs_frame, ranked
         self.frame: dict | None = None

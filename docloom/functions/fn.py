@@ -5,6 +5,7 @@ Missing counts as null. Functions that depend on a type look it up in the frame
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from functools import reduce as fold
@@ -1203,15 +1204,22 @@ def derivative(input: Any, unit: str | None = None) -> Acc:
 
 
 def integral(input: Any, unit: str | None = None) -> Acc:
-    """Trapezoids over the frame, from its rows in order."""
+    """Trapezoids over the frame: the difference of their running sums at its ends; null where the frame holds a null."""
 
-    def run(w: Any, order: Order, part: list[Column]) -> Column:
-        rows = F.collect_list(F.struct(_axis(order[0][0], unit).alias("k"), c(input).cast("double").alias("x"))).over(w)
-        at = F.when(F.size(rows) > 1, F.sequence(F.lit(1), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
-        area = lambda i: (F.get(rows, i)["k"] - F.get(rows, i - 1)["k"]) * (F.get(rows, i)["x"] + F.get(rows, i - 1)["x"]) / 2
-        return F.aggregate(at, F.lit(0.0), lambda s, i: s + area(i))
+    def areas(order: Order, part: list[Column], mark: str) -> dict[str, Column]:
+        k, x, w = _axis(order[0][0], unit), c(input).cast("double"), _sorted(part, order)
+        return {f"{mark}area": (k - F.lag(k).over(w)) * (x + F.lag(x).over(w)) / 2}
 
-    return Acc(None, None, run, needs_sort=True, needs_frame=True)
+    def sums(order: Order, part: list[Column], mark: str) -> dict[str, Column]:
+        w = _sorted(part, order).rowsBetween(W.unboundedPreceding, 0)
+        return {f"{mark}sum": F.coalesce(F.sum(f"{mark}area").over(w), F.lit(0.0))}
+
+    def run(w: Any, order: Order, part: list[Column], mark: str) -> Column:
+        total = F.col(f"{mark}sum")
+        out = F.coalesce(F.last(total).over(w) - F.first(total).over(w), F.lit(0.0))
+        return F.when((F.count(F.lit(1)).over(w) < 2) | (F.count(F.lit(1)).over(w) == F.count(c(input)).over(w)), out)
+
+    return Acc(None, None, run, needs_sort=True, needs_frame=True, first=(areas, sums))
 
 
 def exp_moving_avg(input: Any, n: int | None = None, alpha: float | None = None) -> Acc:
@@ -1219,8 +1227,11 @@ def exp_moving_avg(input: Any, n: int | None = None, alpha: float | None = None)
         raise ValueError("either n or alpha is needed")
     a = alpha if alpha is not None else 2 / (n + 1)
 
+    # values further back than this have less weight than a double's last digit
+    reach = math.ceil(math.log(1e-18) / math.log(1 - a)) if 1e-6 < a < 1 else 1 if a >= 1 else None
+
     def run(w: Any, order: Order, part: list[Column]) -> Column:
-        rows = F.collect_list(c(input).cast("double")).over(_sorted(part, order).rowsBetween(W.unboundedPreceding, 0))
+        rows = F.collect_list(c(input).cast("double")).over(_sorted(part, order).rowsBetween(W.unboundedPreceding if reach is None else -reach, 0))
         return F.aggregate(rows, F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(x * a + s * (1 - a)))
 
     return Acc(None, None, run, needs_sort=True, ranked=True)

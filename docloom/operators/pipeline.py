@@ -385,7 +385,7 @@ class Pipeline:
         with building(df):
             part = [] if partition_by is None else [to_col(self._eval(partition_by))]
             order = [(column(p), up) for p, up in directions(sort_by)] if sort_by else []
-            cols = {}
+            cols, helpers = {}, []
             for name, acc in self._eval(output).items():
                 if not isinstance(acc, Acc) or acc.framed is None:
                     raise PipelineError(f"{name!r} is no window function")
@@ -396,8 +396,13 @@ class Pipeline:
                 if acc.needs_frame and not acc.frame:
                     raise PipelineError(f"{name!r} needs a window")
                 w = frame(acc.frame, part, order, df)
-                cols[name] = acc.framed(w, order, part) if acc.framed.__code__.co_argcount == 3 else acc.framed(w)
-        return self._next("setWindowFields", df.withColumns(cols))
+                mark = f"__{len(cols)}_"
+                for step in acc.first:
+                    made = step(order, part, mark)
+                    helpers += made
+                    df = df.withColumns(made)
+                cols[name] = acc.framed(*(w, order, part, mark)[: acc.framed.__code__.co_argcount])
+        return self._next("setWindowFields", df.withColumns(cols).drop(*helpers))
 
     def densify(self, field: str, step: float, unit: str | None = None, bounds: Any = "full", partition_by_fields: list[str] | None = None) -> Pipeline:
         return self._next("densify", series.densify(self.df, field, step, unit, bounds, partition_by_fields))
