@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import scratch
+from ..sources.scratch import drop_scratch, scratch_path
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -131,47 +131,18 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, off
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def drop_scratch() -> None:
-    """Delete the scratch tables of this process; frames that still read them must not be used after."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone at exit
-            return
+def stash(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-
-atexit.register(drop_scratch)
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    free: the shuffle files behind df, which nothing refers to any more, are dropped now; Spark does so only when the
+    driver happens to collect garbage.
+    """
+    spark = df.sparkSession
     small_batches(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = scratch.stash(df, name)
+    if free:
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -184,3 +155,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["U64", "blocks", "byte_view", "drop_scratch", "gram_hash", "mix", "prefix_hash", "running", "scratch_path", "shingles", "small_batches", "span_hash", "stash", "table", "word_hashes", "word_spans"]

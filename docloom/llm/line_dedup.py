@@ -191,14 +191,14 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plan, buckets = Plan(threshold, frequent), max(16, total // 4_000_000)
     lines = stash(profile(source, ranks), "lines")
     place = F.struct("id", "line")
-    sets = stash(lines.where("n > 0").groupBy("c1").agg(F.min(place).alias("first"), F.min(F.struct("id", "line", "rid")).alias("source")), "sets")
-    found = stash(candidates(keyed(source, ranks, plan, buckets), plan, tile=tile), "units")
+    sets = stash(lines.where("n > 0").groupBy("c1").agg(F.min(place).alias("first"), F.min(F.struct("id", "line", "rid")).alias("source")), "sets", free=True)
+    found = stash(candidates(keyed(source, ranks, plan, buckets), plan, tile=tile), "units", free=True)
     units = found.where("tile is null").unionByName(stash(tiled(found.where("tile is not null"), plan), "tiled"))
-    words = stash(asked_words(units, sets, source, ranks), "words")
+    words = stash(asked_words(units, sets, source, ranks), "words", free=True)
     sums, links = verified(units, words, plan, ranks, buckets)
     earliest = sums.groupBy("c1").agg(F.sum("links").alias("links"), F.min("other").alias("other"))
     classes = sets.join(earliest, "c1", "left").select("c1", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("drop_first"), F.coalesce("links", F.lit(0)).alias("links"))
-    classes = stash(classes, "classes")
+    classes = stash(classes, "classes", free=True)
     judged = lines.select("id", "line", "n", "c1").join(classes, "c1", "left")
     removed = F.coalesce(~place.eqNullSafe(F.col("first")) | F.col("drop_first"), F.lit(False)) & (F.col("n") > 0)
     return judged.select("id", "line", "n", "c1", removed.alias("removed"), F.coalesce("links", F.lit(0)).alias("links")), classes, links

@@ -286,13 +286,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stash(reps.select("c1", "c2", "n", "keys", F.col("own.row").alias("id"), F.col("own.id").alias("name"), F.col("own.h").alias("h")), "reps")
     places = reps.select("id", F.coalesce(F.col("name"), F.lit(-1 << 63)).alias("own"), "h")
     pairs, large = candidates(reps.select("id", "n", "keys"), threshold, all_pairs)
-    pairs = stash(pairs, "pairs")
+    pairs = stash(pairs, "pairs", free=True)
     mark = F.lit(-1).cast("bigint")  # the members of large buckets come along, for later rounds
     more = large.select("id").distinct().select(F.lit(0).cast("bigint").alias("a"), mark.alias("part"), "id")
     held: list[DataFrame] = []
 
     def first(sides: DataFrame) -> DataFrame:
-        held.append(stash(texts_of(source, sides.unionByName(more).join(places, "id"), "a", "part"), "texts"))
+        held.append(stash(texts_of(source, sides.unionByName(more).join(places, "id"), "a", "part"), "texts", free=True))
         return held[0].where("part >= 0")
 
     roots = components(stash(verify(pairs, first, threshold, k), "links"))
