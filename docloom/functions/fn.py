@@ -1103,17 +1103,24 @@ def _tail(a: Column, n: Any) -> Column:
     return F.slice(a, F.greatest(F.size(a) - k + 1, F.lit(1)), k)
 
 
+def _few(n: Any, order: Callable[[Order], Order], last: bool = False) -> tuple[Callable[[Order], Order], int] | None:
+    """The bound of a group's rows where n is a plain number."""
+    turned = lambda keys: [(k, up != last) for k, up in order(keys)]
+    return (turned, n) if isinstance(n, int) else None
+
+
 def first_n(input: Any, n: Any) -> Acc:
-    return Acc(lambda order: _head(_gather(input)(order), n), lambda: _head(c(input), n), lambda w: _head(_framed_list(input)(w), n))
+    return Acc(lambda order: _head(_gather(input)(order), n), lambda: _head(c(input), n), lambda w: _head(_framed_list(input)(w), n), few=_few(n, lambda keys: keys))
 
 
 def last_n(input: Any, n: Any) -> Acc:
-    return Acc(lambda order: _tail(_gather(input)(order), n), lambda: _tail(c(input), n), lambda w: _tail(_framed_list(input)(w), n))
+    return Acc(lambda order: _tail(_gather(input)(order), n), lambda: _tail(c(input), n), lambda w: _tail(_framed_list(input)(w), n), few=_few(n, lambda keys: keys, True))
 
 
 def _extreme(input: Any, n: Any, rising: bool) -> Acc:
     pick = lambda a: _head(F.sort_array(_numbers(a), rising), n)
-    return Acc(lambda order: pick(F.collect_list(c(input))), lambda: pick(c(input)), lambda w: pick(F.collect_list(c(input)).over(w)))
+    known = lambda _: [(c(input).isNull(), True), (c(input), rising)]
+    return Acc(lambda order: pick(F.collect_list(c(input))), lambda: pick(c(input)), lambda w: pick(F.collect_list(c(input)).over(w)), few=_few(n, known))
 
 
 def max_n(input: Any, n: Any) -> Acc:
@@ -1139,11 +1146,11 @@ def bottom(output: Any, sort_by: Any) -> Acc:
 
 
 def top_n(output: Any, sort_by: Any, n: Any) -> Acc:
-    return Acc(lambda _: _head(_gather(output)(_order(sort_by)), n))
+    return Acc(lambda _: _head(_gather(output)(_order(sort_by)), n), few=_few(n, lambda _: _order(sort_by)))
 
 
 def bottom_n(output: Any, sort_by: Any, n: Any) -> Acc:
-    return Acc(lambda _: _tail(_gather(output)(_order(sort_by)), n))
+    return Acc(lambda _: _tail(_gather(output)(_order(sort_by)), n), few=_few(n, lambda _: _order(sort_by), True))
 
 
 def _array_percentile(a: Column, p: float) -> Column:

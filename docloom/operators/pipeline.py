@@ -344,14 +344,22 @@ class Pipeline:
         df = self.df
         own = dict(self._eval(spec))
         key = own.pop("_id")
+        few = {k: v for k, v in own.items() if isinstance(v, Acc) and v.few and v.over}
         with building(df):
             outputs = self._outputs(own, df)
-            col = F.lit(None).cast("string") if key is None else to_col(key)
-        grouped = df.groupBy(F.lit(1).alias("_id") if key is None else col.alias("_id"))
-        out = grouped.agg(*outputs.values()) if outputs else grouped.agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+            col = F.lit(1) if key is None else to_col(key)
+            bounds = {k: v.few[0](_group_order(df, self._keys())) for k, v in few.items()}
+        rest = [v for k, v in outputs.items() if k not in few]
+        grouped = df.groupBy(col.alias("_id"))
+        out = grouped.agg(*rest) if rest else grouped.agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+        for name, order in bounds.items():  # rows that can't be among the first n go before anything is gathered
+            w = W.partitionBy("__k").orderBy(*(k.asc() if up else k.desc() for k, up in order))
+            kept = df.withColumn("__k", F.struct(col.alias("k"))).withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= few[name].few[1])
+            found = kept.groupBy("__k").agg(outputs[name])
+            out = out.join(found, F.struct(F.col("_id").alias("k")) == F.col("__k"), "left").drop("__k")
         if key is None:
             out = out.withColumn("_id", F.lit(None).cast("string"))
-        return self._next("group", out, ())
+        return self._next("group", out.select("_id", *own), ())
 
     def bucket(self, group_by: Any, boundaries: list, default: Any = ..., output: Any = None) -> Pipeline:
         if len(boundaries) < 2 or any(not a < b for a, b in zip(boundaries, boundaries[1:], strict=False)):

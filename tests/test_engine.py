@@ -249,3 +249,10 @@ def test_a_write_that_fails_keeps_the_old_rows(spark, tmp_path):
         replace_collection(spark.range(2).select(F.raise_error(F.lit("broken")).alias("_id")), path)
     assert spark.read.parquet(path).count() == 3
     assert replace_collection(spark.range(5).toDF("_id"), path).count() == 5
+
+
+def test_first_rows_of_groups_with_null_keys_and_ties(spark):
+    p = Pipeline(spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", None), ("a", 2), ("b", None)], "k string, v int"))
+    out = p.sort({"v": 1}).group(lambda f: {"_id": f.k, "low": fn.min_n(f.v, 1), "top": fn.max_n(f.v, 5), "first": fn.first_n(f.v, 2), "last": fn.top_n(f.v, {"v": -1}, 1), "n": fn.count()})
+    got = {r._id: (r.low, r.top, r.first, r["last"], r.n) for r in out.df.collect()}
+    assert got == {None: ([1], [3, 1], [1, 3], [3], 2), "a": ([2], [2, 2], [None, 2], [2], 3), "b": ([], [], [None], [None], 1)}
