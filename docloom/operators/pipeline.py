@@ -24,6 +24,8 @@ from .filters import compile_filter, near_order
 from .geo import distance_of, haversine
 
 FIRST_ONLY = {"geoNear", "search", "searchMeta", "vectorSearch", "rankFusion", "scoreFusion", "collStats", "indexStats", "planCacheStats", "listSearchIndexes", "listSessions", "documents", "currentOp", "listLocalSessions", "queryStats", "listSampledQueries", "listClusterCatalog", "shardedDataDistribution", "querySettings", "changeStream"}
+#: Stages that keep every row to itself.
+NARROW = {"match", "project", "addFields", "set", "unset", "replaceRoot", "replaceWith", "redact", "unwind"}
 UPDATE_STAGES = {"addFields", "set", "project", "unset", "replaceRoot", "replaceWith"}
 
 
@@ -570,8 +572,9 @@ class Pipeline:
         return self._next("unionWith", self.df.unionByName(own, allowMissingColumns=True), ())
 
     def facet(self, branches: dict[str, Callable[[Pipeline], Pipeline]]) -> Pipeline:
-        """One row with an array for each branch; the input is read once."""
-        shared = self.df.persist()
+        """One row with an array for each branch. Behind stages that only filter and shape rows, each branch reads the
+        source for itself, with its own columns and filters; any other input is written once and read by all."""
+        shared = self.df if set(self.stages) <= NARROW else stash(self.df, "facet")
         out = None
         for name, branch in branches.items():
             own = branch(replace(self, df=shared, mode="facet"))
