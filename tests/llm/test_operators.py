@@ -64,6 +64,17 @@ def test_exact_repeated_and_null_ids(spark):
     assert got == [(1, None, 3, False), (1, None, 3, False), (2, 2, 1, True), (None, None, 3, True)]
 
 
+def test_exact_of_hot_and_long_texts_and_extreme_ids(spark):
+    """A text that a third of all rows hold, texts of a megabyte, the least and largest ids, rows equal in everything."""
+    long = "z " * 600_000
+    rows = [(i, "hot" if i % 3 == 0 else f"own {i}") for i in range(300)] + [(-(2**63), long), (2**63 - 1, "z" * 600_000), (7, "own 7"), (5, "own 5 ")]
+    found = exact_dedup.exact_dedup(spark.createDataFrame([(*r, "x", True) for r in rows], "doc_id long, text string, digest string, kept boolean").repartition(4)).collect()
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found)
+    assert [g for g in got if g[2] == 100 and g[3]] == [(0, 0, 100, True)]
+    assert got[0] == (-(2**63), -(2**63), 2, True) and got[-1] == (2**63 - 1, -(2**63), 2, False)
+    assert [g[3] for g in got if g[0] == 7].count(True) == 1 and sorted(g[3] for g in got if g[0] == 5) == [False, True]
+
+
 def test_fuse_filter():
     keys = np.random.default_rng(1).integers(0, 2**63, 30_000).astype(np.uint64)
     for n in (0, 1, 2, 100, 20_000):
