@@ -24,10 +24,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Removes the shuffle files of an execution at its end, rather than when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df and read it back. The shuffle files behind it go at once: nothing reads them any more."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a new frame, since a frame takes the setting when it is made
+    finally:
+        spark.conf.set(_CLEANUP, before or "false")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
