@@ -131,18 +131,10 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, off
 
 
-def stash(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    free: the shuffle files behind df, which nothing refers to any more, are dropped now; Spark does so only when the
-    driver happens to collect garbage.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    out = scratch.stash(df, name)
-    if free:
-        spark.sparkContext._jvm.System.gc()
-    return out
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, frees its shuffle files."""
+    small_batches(df.sparkSession)
+    return scratch.stash(df, name)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
