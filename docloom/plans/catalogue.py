@@ -452,7 +452,7 @@ def bulk_write(s, d):
 @query("select p_partkey, case when p_partkey in (2, 5) then 99 else p_size end p_size from part union all select 1000000, 1")
 def bulk_save(s, d):
     df = _table(s, d, "part").select("p_partkey", "p_size")
-    return Writer(df, "p_partkey").bulk_save([{"p_partkey": 2, "p_size": 99}, {"p_partkey": 5, "p_size": 99}, {"p_partkey": 1_000_000, "p_size": 1}])
+    return Writer(df, "p_partkey").bulk_save([{"p_partkey": 2, "p_size": 99}, {"p_partkey": 5, "p_size": 99}], new=[{"p_partkey": 1_000_000, "p_size": 1}])
 
 
 @query("select 'update' step, p_partkey, p_size from part where p_partkey = 3 union all select 'replace', 3, 50 union all select 'delete', p_partkey, p_size from part where p_partkey = 3 union all select 'left', null, count(*)::int - 1 from part")

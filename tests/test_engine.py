@@ -256,3 +256,11 @@ def test_first_rows_of_groups_with_null_keys_and_ties(spark):
     out = p.sort({"v": 1}).group(lambda f: {"_id": f.k, "low": fn.min_n(f.v, 1), "top": fn.max_n(f.v, 5), "first": fn.first_n(f.v, 2), "last": fn.top_n(f.v, {"v": -1}, 1), "n": fn.count()})
     got = {r._id: (r.low, r.top, r.first, r["last"], r.n) for r in out.df.collect()}
     assert got == {None: ([1], [3, 1], [1, 3], [3], 2), "a": ([2], [2, 2], [None, 2], [2], 3), "b": ([], [], [None], [None], 1)}
+
+
+def test_bulk_save_updates_loaded_documents_and_inserts_new_ones(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (9, 4), (None, 5)], "k long, v int")
+    save = [{"k": 2, "v": 20}, {"k": 2, "v": 21}, {"k": 7, "v": 70}]
+    got = Writer(rows, "k").bulk_save(save, new=[{"k": 9, "v": 90}]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 1), (2, 21), (2, 21), (9, 4), (None, 5), (9, 90)], key=repr)
+    assert Writer(rows, "k").bulk_save([{"k": 1}]).where("k = 1").collect()[0].v is None
