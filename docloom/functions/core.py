@@ -41,11 +41,12 @@ class Acc:
 
     over(order) builds the aggregate column; framed(window) the window column. first: steps of helper columns that
     framed reads, each a function of (order, partition, prefix of their names) to columns by name. few: of each group only
-    that many rows are needed, the first ones in the order that the function makes of the pipeline's.
+    that many rows are needed, the first ones in the order that the function makes of the pipeline's. ranks: the value and
+    the fractions of a group's values where those wanted stand; a group stage counts values to find them.
     """
 
-    def __init__(self, over: Callable[[Order], Column] | None, expr: Callable[[], Column] | None = None, framed: Callable[..., Column] | None = None, *, needs_sort: bool = False, single_key: bool = False, needs_frame: bool = False, ranked: bool = False, first: Iterable[Callable[..., dict[str, Column]]] = (), few: tuple[Callable[[Order], Order], int] | None = None):
-        self.first, self.few = tuple(first), few
+    def __init__(self, over: Callable[[Order], Column] | None, expr: Callable[[], Column] | None = None, framed: Callable[..., Column] | None = None, *, needs_sort: bool = False, single_key: bool = False, needs_frame: bool = False, ranked: bool = False, first: Iterable[Callable[..., dict[str, Column]]] = (), few: tuple[Callable[[Order], Order], int] | None = None, ranks: tuple[Column, float | list[float]] | None = None):
+        self.first, self.few, self.ranks = tuple(first), few, ranks
         self.over, self.expr, self.framed = over, expr, framed
         self.needs_sort, self.single_key, self.needs_frame, self.ranked = needs_sort, single_key, needs_frame, ranked
         self.frame: dict | None = None

@@ -1161,12 +1161,13 @@ def _array_percentile(a: Column, p: float) -> Column:
 
 def median(input: Any, method: str = "approximate") -> Acc:
     agg = lambda x: F.percentile_approx(x, 0.5) if method == "approximate" else F.median(x)
-    return Acc(lambda order: agg(c(input)), lambda: _array_percentile(c(input), 0.5), lambda w: agg(c(input)).over(w))
+    return Acc(lambda order: agg(c(input)), lambda: _array_percentile(c(input), 0.5), lambda w: agg(c(input)).over(w), ranks=(c(input), 0.5) if method == "approximate" else None)
 
 
 def percentile(input: Any, p: list[float], method: str = "approximate") -> Acc:
+    """The least values with a share of p at or below them: exact in a group stage, elsewhere within a 10,000th of the ranks."""
     agg = lambda x: F.percentile_approx(x, p)
-    return Acc(lambda order: agg(c(input)), lambda: F.array(*(_array_percentile(c(input), q) for q in p)), lambda w: agg(c(input)).over(w))
+    return Acc(lambda order: agg(c(input)), lambda: F.array(*(_array_percentile(c(input), q) for q in p)), lambda w: agg(c(input)).over(w), ranks=(c(input), p))
 
 
 def accumulator(*_: Any, **__: Any) -> Any:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,6 +128,15 @@ def frame(spec: dict | None, part: list[Column], order: Order, df: DataFrame) ->
     return w.rangeBetween(bound(a, True), bound(b, False))
 
 
+def _at_ranks(df: DataFrame, name: str, at: float | list[float]) -> DataFrame:
+    """Per __k the least values of __x with a share `at` of the group's values at or below them; equal values are one row before any order."""
+    held = df.where(F.col("__x").isNotNull()).groupBy("__k", "__x").agg(F.count(F.lit(1)).alias("__n"))
+    w = W.partitionBy("__k")
+    held = held.withColumn("__upto", F.sum("__n").over(w.orderBy("__x"))).withColumn("__all", F.sum("__n").over(w))
+    low = lambda p: F.min(F.when(F.col("__upto") >= F.col("__all") * F.lit(Decimal(str(p))), F.col("__x")))
+    return held.groupBy("__k").agg((F.array(*map(low, at)) if isinstance(at, (list, tuple)) else low(at)).alias(name))
+
+
 @dataclass(frozen=True)
 class Pipeline:
     df: DataFrame
@@ -351,7 +361,8 @@ class Pipeline:
             outputs = self._outputs(own, df)
             col = F.lit(1) if key is None else to_col(key)
             bounds = {k: v.few[0](_group_order(df, self._keys())) for k, v in few.items()}
-        rest = [v for k, v in outputs.items() if k not in few]
+        ranked = {k: v.ranks for k, v in own.items() if v.ranks}
+        rest = [v for k, v in outputs.items() if k not in few and k not in ranked]
         grouped = df.groupBy(col.alias("_id"))
         out = grouped.agg(*rest) if rest else grouped.agg(F.count(F.lit(1)).alias("__n")).drop("__n")
         for name, order in bounds.items():  # rows that can't be among the first n go before anything is gathered
@@ -359,6 +370,9 @@ class Pipeline:
             kept = df.withColumn("__k", F.struct(col.alias("k"))).withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= few[name].few[1])
             found = kept.groupBy("__k").agg(outputs[name])
             out = out.join(found, F.struct(F.col("_id").alias("k")) == F.col("__k"), "left").drop("__k")
+        for name, (x, at) in ranked.items():
+            found = _at_ranks(df.select(F.struct(col.alias("k")).alias("__k"), x.alias("__x")), name, at)
+            out = out.join(found, F.struct(F.col("_id").alias("k")) == F.col("__k"), "left").drop("__k")
         if key is None:
             out = out.withColumn("_id", F.lit(None).cast("string"))
         return self._next("group", out.select("_id", *own), ())

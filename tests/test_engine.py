@@ -258,6 +258,22 @@ def test_first_rows_of_groups_with_null_keys_and_ties(spark):
     assert got == {None: ([1], [3, 1], [1, 3], [3], 2), "a": ([2], [2, 2], [None, 2], [2], 3), "b": ([], [], [None], [None], 1)}
 
 
+def test_group_percentiles_are_exact_over_more_values_than_a_sketch_holds(spark):
+    rows = spark.range(200_003).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") * 9_973 % 200_003).alias("x"))
+    p = Pipeline(rows).group(lambda f: {"_id": fn.cond(fn.eq(f.k, 2), None, f.k), "n": fn.count(), "m": fn.median(f.x), "p": fn.percentile(f.x, [0, 0.001, 0.25, 0.9, 1])})
+    own = {}
+    for i in range(200_003):
+        own.setdefault(None if i % 3 == 2 else i % 3, []).extend([i * 9_973 % 200_003] if i % 7 else [])
+    at = lambda xs, num, den: sorted(xs)[max(-(-len(xs) * num // den), 1) - 1]
+    assert {r["_id"]: (r.m, r.p) for r in p.df.collect()} == {k: (at(xs, 1, 2), [at(xs, *q) for q in ((0, 1), (1, 1000), (1, 4), (9, 10), (1, 1))]) for k, xs in own.items()}
+
+
+def test_group_percentiles_of_no_values_are_null(spark):
+    rows = spark.createDataFrame([("a", None), ("a", None), ("b", 2.0), ("b", float("nan"))], "k string, x double")
+    got = Pipeline(rows).group(lambda f: {"_id": f.k, "m": fn.median(f.x), "p": fn.percentile(f.x, [0.5])}).df.collect()
+    assert {r["_id"]: (r.m, r.p) for r in got} == {"a": (None, None), "b": (2.0, [2.0])}
+
+
 def test_bulk_save_updates_loaded_documents_and_inserts_new_ones(spark):
     rows = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (9, 4), (None, 5)], "k long, v int")
     save = [{"k": 2, "v": 20}, {"k": 2, "v": 21}, {"k": 7, "v": 70}]
