@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docloom.llm import components, decontaminate, exact_dedup, html_text, language_id, line_dedup, minhash, packing, substring_dedup, token_store, toxicity
+from docloom.llm import components, decontaminate, exact_dedup, html_text, language_id, line_dedup, minhash, packing, set_join, substring_dedup, token_store, toxicity
 from docloom.llm.common import scratch_path
 from docloom.llm.encode import MemoEncoder
 
@@ -136,6 +136,35 @@ def test_links_of_lines(docs):
     assert sum(r.links for r in classes.collect()) == 2 * len(rows)
 
 
+def test_units_that_share_sets_go_together(spark):
+    """Near copies share many words, so they meet under many keys; their words are still sent about once."""
+    rng = random.Random(8)
+    family = [[f"f{f}w{i}" for i in range(40)] for f in range(30)]
+    rows = [(12 * f + k, " ".join(w if rng.random() > 0.03 else f"x{rng.randrange(10**9)}" for w in words)) for f, words in enumerate(family) for k in range(12)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    table, names, _ = set_join.counted(docs.select("text"), line_dedup._text_words)
+    ranks, plan = spark.sparkContext.broadcast(table), set_join.Plan(0.8)
+    units = set_join.candidates(line_dedup.keyed(docs, ranks, plan, 16), plan, by_sets=True).cache()
+    met, sent = (set_join.unrolled(x, y).select(y, "c1").distinct() for x, y in ((units.withColumn("own", F.col("gid")), "own"), (set_join.homes(units), "dest")))
+    sets = met.select("c1").distinct().count()
+    assert sets > 250 and sent.select("c1").distinct().count() == sets
+    assert sent.count() < 1.2 * sets < 2 * sets < met.count()
+
+
+def test_codes_give_back_the_words():
+    rng = np.random.default_rng(5)
+    known, sizes = np.unique(rng.integers(1, 1 << 63, 500, dtype=np.uint64)), np.array([3, 0, 40, 1])
+    slots = np.unique(set_join.slot(known), return_index=True)[1]
+    book = set_join.Codebook(known[slots])
+    words = np.where(rng.random(44) < 0.5, rng.choice(known, 44), rng.integers(0, 1 << 63, 44, dtype=np.uint64))
+    words[:2] = 0, known[slots][0] ^ np.uint64(1)  # in the bucket of a known word
+    o = np.concatenate(([0], np.cumsum(sizes)))
+    codes, others = book.encoded(words, o)
+    back = book.decoded(codes.to_pylist(), others.to_pylist())
+    assert (back[0] == words).all() and (back[-1] == o).all()
+    assert 0 < sum(len(x) for x in others.to_pylist()) < 8 * 44
+
+
 def test_lines_of_null_and_repeated_ids(spark):
     """Null ids come first; rows of one id are one document; a line of over 65,535 words is compared whole."""
     long = [f"q{i}" for i in range(70_000)]
