@@ -114,12 +114,14 @@ class Codebook:
         raw = lambda x, o: pa.array([x[i:j].tobytes() for i, j in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], pa.binary())
         return raw(code, o), raw(words[other], at)
 
-    def decoded(self, codes: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of the sets and their offsets."""
+    def decoded(self, codes: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of the sets, a number from 0 for each different one, and the sets' offsets."""
         code = np.frombuffer(b"".join(codes), "<u2")
         words = self.names[np.minimum(code, len(self.names) - 1)]
-        words[code == CODES] = np.frombuffer(b"".join(others), U64)
-        return words, np.concatenate(([0], np.cumsum([len(x) // 2 for x in codes])))
+        number, rest, other = code.astype(np.int64), code == CODES, np.frombuffer(b"".join(others), U64)
+        words[rest] = other
+        number[rest] = CODES + np.unique(other, return_inverse=True)[1].reshape(-1)
+        return words, number, np.concatenate(([0], np.cumsum([len(x) // 2 for x in codes])))
 
 
 class Plan:
@@ -253,15 +255,28 @@ UNITS = "gid long, c1 long, at int, pairs binary, tile binary"
 _NO_UNIT = pa.table({"gid": pa.array([], pa.int64()), "c1": pa.array([], pa.int64()), "at": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary()), "tile": pa.array([], pa.binary())})
 
 
-def _fitting(plan: Plan, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _columns(rows: np.ndarray) -> dict[str, np.ndarray]:
+    """The fields that _fitting reads, each for itself."""
+    return {x: np.ascontiguousarray(rows[x]) for x in rows.dtype.names if x not in ("key", "c1")}
+
+
+def _fitting(plan: Plan, rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs (places in rows) pass the filters."""
-    n, m = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
-    need = plan.need(n, m)
-    good = (np.minimum(n, m) >= plan.t * np.maximum(n, m) - 1e-9) & (np.minimum(rows["left"][a], rows["left"][b]) >= need)
-    good &= np.bitwise_count(rows["bits"][a] ^ rows["bits"][b]) <= n + m - 2 * need
+    n, m = rows["n"][a], rows["n"][b]
+    both = n.astype(np.int32) + m
+    need = plan.need(np.arange(int(both.max(initial=0)) + 1), 0).astype(np.int32)
+    good = np.flatnonzero(np.minimum(rows["left"][a], rows["left"][b]) >= need[both])
+    both, a, b, out = both[good], a[good], b[good], np.zeros(len(a), dtype=bool)
+    some = np.flatnonzero(np.bitwise_count(rows["bits"][a] ^ rows["bits"][b]) <= both - 2 * need[both])
+    good, a, b = good[some], a[some], b[some]
     before = rows["before"][a]
-    good &= (before != rows["before"][b]) | (before == 0)  # else that word is an earlier key of the pair
-    return good & (rows["root"][a] != rows["root"][b]) if "root" in rows.dtype.names else good
+    fit = (before != rows["before"][b]) | (before == 0)  # else that word is an earlier key of the pair
+    n, m = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
+    fit &= np.minimum(n, m) >= plan.t * np.maximum(n, m) - 1e-9
+    if "root" in rows:
+        fit &= rows["root"][a] != rows["root"][b]
+    out[good[fit]] = True
+    return out
 
 
 def _unit(gid: int, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
@@ -354,7 +369,7 @@ def candidates(rows: DataFrame, plan: Plan, kind: np.dtype = POSTING, tile: int
             most = np.minimum(np.floor(rows["n"] / plan.t + 1e-9), 65535).astype(np.int64)
             start = place + 1
             partners = np.searchsorted(code, number << 17 | most, "right") - start
-        out = [none]
+        out, columns = [none], _columns(rows)
         for x in np.flatnonzero((sizes > tile) & (np.add.reduceat(partners, cut) > 0)).tolist():  # long lists: tiles of pairs for other tasks
             steps = range(cut[x], ends[x], tile // 2)
             partners[cut[x] : ends[x]] = 0
@@ -374,7 +389,7 @@ def candidates(rows: DataFrame, plan: Plan, kind: np.dtype = POSTING, tile: int
             n = partners[at:stop]
             a = np.repeat(place[at:stop], n)
             b = np.repeat(start[at:stop] - (done[at:stop] - done[at]), n) + np.arange(len(a))
-            good = _fitting(plan, rows, a, b)
+            good = _fitting(plan, columns, a, b)
             a, b = a[good], b[good]
             at = stop
             if len(a):
@@ -398,7 +413,7 @@ def tiled(tiles: DataFrame, plan: Plan, kind: np.dtype = POSTING, by_sets: bool
                 n, rows = int(np.frombuffer(raw, np.int64, 1)[0]), np.frombuffer(raw, kind, -1, 8)
                 a, b = np.triu_indices(n, 1) if len(rows) == n else (x.reshape(-1) for x in np.indices((n, len(rows) - n)))
                 b = b if len(rows) == n else b + n
-                good = _fitting(plan, rows, a, b)
+                good = _fitting(plan, _columns(rows), a, b)
                 if good.any():
                     yield from (_parts(gid, rows, a[good], b[good], split=False) if by_sets else _unit(gid, rows, a[good], b[good])).to_batches()
 
@@ -436,29 +451,28 @@ def links_of(group: pa.Table, plan: Plan, ranks: np.ndarray, buckets: int) -> tu
     raw = group.column("words").to_pylist()
     words, o = np.frombuffer(b"".join(raw), U64), np.concatenate(([0], np.cumsum([len(w) // 8 for w in raw])))
     left, right, met = unpack_pairs(next(p for p in group.column("pairs").to_pylist() if p is not None))
-    return _linked(words, o, left, right, met, np.full(len(left), group.column("gid")[0].as_py() >> 32), plan, ranks, buckets)
+    return _linked(words, np.unique(words, return_inverse=True)[1], o, left, right, met, np.full(len(left), group.column("gid")[0].as_py() >> 32), plan, ranks, buckets)
 
 
 def links_together(units: pa.Table, sets: pa.Table, book: Codebook, plan: Plan, ranks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """As links_of, of units of one dest; places in sets (c1, codes, others; by rising c1)."""
-    words, o = book.decoded(sets.column("codes").to_pylist(), sets.column("others").to_pylist())
+    words, number, o = book.decoded(sets.column("codes").to_pylist(), sets.column("others").to_pylist())
     members, pairs = units.column("members").to_pylist(), units.column("pairs").to_pylist()
     place = np.searchsorted(sets.column("c1").to_numpy(), np.frombuffer(b"".join(members), np.int64))
     counts = [len(p) // PAIR.itemsize for p in pairs]
     begin = np.repeat(np.cumsum([0, *(len(m) // 8 for m in members)])[:-1], counts)
     pairs = np.frombuffer(b"".join(pairs), PAIR)
     a, b = place[begin + pairs["a"]], place[begin + pairs["b"]]
-    return _linked(words, o, a, b, pairs["key"], np.repeat(units.column("gid").to_numpy() >> 32, counts), plan, ranks, buckets)
+    return _linked(words, number, o, a, b, pairs["key"], np.repeat(units.column("gid").to_numpy() >> 32, counts), plan, ranks, buckets)
 
 
-def _linked(words: np.ndarray, o: np.ndarray, a: np.ndarray, b: np.ndarray, met: np.ndarray, bucket: np.ndarray, plan: Plan, ranks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (a, b) of sets (words, offsets o) that are links and were met under the first key they share."""
+def _linked(words: np.ndarray, local: np.ndarray, o: np.ndarray, a: np.ndarray, b: np.ndarray, met: np.ndarray, bucket: np.ndarray, plan: Plan, ranks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of sets (words, their numbers, offsets o) that are links and were met under the first key they share."""
     code, again = np.unique(np.minimum(a, b) * len(o) + np.maximum(a, b), return_inverse=True)
     left, right = code // len(o), code % len(o)
     key, linked = np.zeros(len(code), dtype=U64), np.zeros(len(code), dtype=bool)
     n = np.diff(o)
-    _, local = np.unique(words, return_inverse=True)
-    where = np.full(len(words), -1, dtype=np.int64)  # place of a word in the set at hand
+    where = np.full(local.max(initial=-1) + 1, -1, dtype=np.int64)  # place of a word in the set at hand
     cut = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
     for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(left)], strict=True):
         x = int(left[lo])

@@ -161,7 +161,7 @@ def test_codes_give_back_the_words():
     o = np.concatenate(([0], np.cumsum(sizes)))
     codes, others = book.encoded(words, o)
     back = book.decoded(codes.to_pylist(), others.to_pylist())
-    assert (back[0] == words).all() and (back[-1] == o).all()
+    assert (back[0] == words).all() and (back[-1] == o).all() and len(set(zip(back[0].tolist(), back[1].tolist()))) == len(set(words.tolist()))
     assert 0 < sum(len(x) for x in others.to_pylist()) < 8 * 44
 
 
