@@ -6,7 +6,7 @@ sentence a probability, 0 without any; a document is toxic with 1 - prod(1 - p).
 to the sentences that explain a label; locate() returns them.
 
 At most `max_docs` labelled documents train the model, with their whole texts: those with the least hashes of id and
-text (a documented bound on the rows that come to the driver). Every document is scored whole. Null and empty texts have
+text (a documented bound on the rows that one task trains on; the driver gets the model alone). Every document is scored whole. Null and empty texts have
 no sentence and get the score of an empty product, 0. Without any labelled document of both kinds, every score is 0.
 Repeated rows are scored each for itself; labels that contradict each other count as toxic; rows without an id train
 nothing; other columns are ignored.
@@ -132,9 +132,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = stash(known.orderBy(F.xxhash64("id"), "id").limit(max_docs), "labels")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # chosen has max_docs rows at most; where ids repeat, as many of their texts train
-    rows = source.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(max_docs).collect()
-    rows.sort(key=lambda r: (r.id, r.text or ""))
-    return fit([r.text or "" for r in rows], [int(r.y) for r in rows])
+    rows = source.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(max_docs).select("id", "text", F.col("y").cast("int").alias("y"))
+    return learned(rows)
+
+
+def learned(rows: DataFrame) -> Model:
+    """fit() of rows (id, text, y) in one task: only the bias and the weights that are not 0 come to the driver, whatever the texts hold."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str, int]] = []
+        for batch in batches:
+            ids, texts, y = (c.to_pylist() for c in batch.columns)
+            held += zip(ids, (t or "" for t in texts), y, strict=True)
+        held.sort(key=lambda r: r[:2])
+        model = fit([r[1] for r in held], [r[2] for r in held])
+        at = np.flatnonzero(model.weights)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(model.weights[at], pa.float32()), pa.nulls(len(at), pa.float64())], ["at", "weight", "bias"])
+        yield pa.record_batch([pa.array([None], pa.int32()), pa.array([None], pa.float32()), pa.array([model.bias], pa.float64())], ["at", "weight", "bias"])
+
+    weights, bias = np.zeros(1 << BITS, np.float32), -30.0  # as fit() has them without rows
+    for r in rows.coalesce(1).mapInArrow(each, "at int, weight float, bias double").collect():
+        if r.at is None:
+            bias = r.bias
+        else:
+            weights[r.at] = r.weight
+    return Model(weights, bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
