@@ -8,8 +8,9 @@ decoded.
 A store is a folder of Parquet files whose rows are segments: (part, seg, before, n_docs, n_tokens, image), before being
 the ids of the part ahead of the segment. An image is
 self-contained: magic "DAC1", the numbers of levels, ids and documents, the document directory (ids and starts in the
-segment), then the levels. Segments hold about `segment_tokens` ids; a document is never split over two, and one of more
-ids is a segment with what came before it. Parts follow
+segment), then the levels. A segment ends with the document that brings it to `segment_tokens` ids; a document is never
+split over two, and one of more ids is a segment with what came before it. Images (about 140 kB by default), pages and
+row groups are small, so that the arrays of a task that writes or reads a store don't grow with its part. Parts follow
 the order of the document ids. Null text counts as empty, and an empty text still has its end id; rows that repeat an
 id follow each other, ordered by text; null ids come first; an empty table makes an empty store.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ from .encode import MemoEncoder, as_uint32
 MAGIC = b"DAC1"
 RANK_BITS = 512
 SCHEMA = "part int, seg int, before long, n_docs int, n_tokens long, image binary"
+#: By default Parquet looks at sizes after 100 rows only, so all images of a part are one page; arrays of that size make a JVM's heap grow.
+LAYOUT = {"parquet.page.size.row.check.min": "1", "parquet.page.size": str(1 << 18), "parquet.block.size": str(1 << 20), "parquet.enable.dictionary#image": "false"}
+#: Rows of a columnar batch of texts.
+ROWS = 64
 
 
 def pack(ids: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
@@ -108,7 +114,19 @@ class Segment:
         return self.get(np.arange(self.starts[k], end))
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = 1 << 20) -> None:
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Columnar batches of at most ROWS rows: the arrays that hold the texts of the default of 4096 double up to tens of megabytes."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = 1 << 16) -> None:
     """Encode the texts and write them to path in ascending order of the ids."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,19 +146,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 piece = batch.slice(i, 256)
-                names += piece.column(0).to_pylist()
-                new = [r + end for r in encoder.encode([t or "" for t in piece.column(1).to_pylist()])]
-                raws += new
-                size += sum(map(len, new)) // 2
-                if size >= segment_tokens:
-                    yield segment()
-                    names, raws, size, seg, before = [], [], 0, seg + 1, before + size
+                for name, raw in zip(piece.column(0).to_pylist(), encoder.encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
+                    names.append(name)
+                    raws.append(raw + end)
+                    size += len(raws[-1]) // 2
+                    if size >= segment_tokens:
+                        yield segment()
+                        names, raws, size, seg, before = [], [], 0, seg + 1, before + size
         if names:
             yield segment()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = source.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(each, SCHEMA).write.parquet(path)
+    with short_batches(docs.sparkSession):
+        ordered.mapInArrow(each, SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def part_starts(segments: DataFrame) -> dict[int, int]:
